@@ -1,5 +1,488 @@
-"""The queries over the test tables, by name."""
+"""The queries over the test tables, by name, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from evidentia.functions import text as X
+from evidentia.functions import tokens as T
+from evidentia.operators import audits, features, folds, metrics, models, relations, vectors
+from evidentia.plans.inputs import FIXTURE_SQL, QA, fixture, qa, table
+from evidentia.sources import sinks, tables
 
 QUERIES = {}
 ORACLE = {}
-FLAGSHIP = ""
+FLAGSHIP = "lexical_features"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL counterparts of the scalar functions.
+WS = X.WS
+q = lambda s: "'" + s.replace("'", "''") + "'"
+strip_ = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+collapse_ = lambda c: f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
+norm_ = lambda c: collapse_(f"nfc_normalize(coalesce({c}, ''))")
+list_ = lambda xs: "(" + ", ".join(map(q, xs)) + ")"
+absent_ = lambda c, r: f"({c} IS NULL OR lower({collapse_(c) if r == 'v1' else strip_(c)}) IN {list_(X.ABSENT[r])})"
+clean_ = lambda c, r='v4a': f"CASE WHEN {absent_(c, r)} THEN '' ELSE {c} END"
+ctx_ = lambda c: f"CASE WHEN lower({norm_(c)}) IN {list_(X.ABSENT['v1'])} THEN '' ELSE {norm_(c)} END"
+marked_ = lambda p, c, r: f"'__PROMPT__' || chr(10) || {p} || chr(10) || chr(10) || '__CONTEXT_PRESENT__' || chr(10) || CASE WHEN {c} != '' THEN '1' ELSE '0' END || chr(10) || chr(10) || '__CONTEXT__' || chr(10) || {c} || chr(10) || chr(10) || '__RESPONSE__' || chr(10) || {r}"
+nums_ = lambda c: f"translate({c}, {q(X.BENGALI_DIGITS[0])}, '0123456789')"
+v5_ = lambda c: collapse_(f"lower(replace(translate(translate(regexp_replace(nfc_normalize(coalesce({c}, '')), {q(X.ZERO_WIDTH)}, '', 'g'), {q(X.DIGITS[0])}, {q(X.DIGITS[1])}), {q(X.PUNCTUATION[0])}, {q(X.PUNCTUATION[1])}), '…', '...'))")
+punct_ = lambda c: collapse_(rf"regexp_replace({c}, '\p{{P}}', ' ', 'g')")
+compact_ = lambda c: f"regexp_replace({c}, '{WS}+', '', 'g')"
+toks_ = lambda c: rf"regexp_extract_all({c}, '[\p{{L}}\p{{M}}\p{{N}}]+')"
+set_ = lambda c: rf"list_distinct(regexp_extract_all({nums_(c)}, '[\p{{L}}\p{{N}}_]{{2,}}'))"
+numset_ = lambda c: rf"list_distinct(regexp_extract_all({nums_(c)}, '\p{{Nd}}+(?:\.\p{{Nd}}+)?'))"
+numerals_ = lambda l: rf"list_filter({l}, lambda x: regexp_full_match(x, '\p{{Nd}}+'))"
+grams_ = lambda c, n: f"CASE WHEN {c} = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length({c}) - {n} + 1, 1) + 1), lambda i: substring({c}, i, {n}))) END"
+jac_ = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
+multi_ = lambda a, b: f"coalesce(list_sum(list_transform(list_intersect({a}, {b}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
+cells_ = "count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp"
+f1_ = "CASE WHEN 2 * tn + fp + fn = 0 THEN 0 ELSE 2.0 * tn / (2 * tn + fp + fn) END::DOUBLE AS f1_label0, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1_label1, (f1_label0 + f1_label1) / 2 AS macro_f1, (tn + tp) / (tn + fp + fn + tp) AS accuracy"
+
+
+def _p(spark, sf_dir):
+    return qa(spark, sf_dir).select("row_idx", "label", F.col("p_e1").alias("p"), (~X.is_absent(F.col("context"), "v7")).alias("present"), "p_e0", "p_e1", "partition")
+
+
+P = QA + f", p AS (SELECT row_idx, label, p_e1 AS p, NOT {absent_('context', 'v7')} AS present, p_e0, p_e1, partition FROM qa)"
+
+# --- text -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FIXTURE_SQL} SELECT row_idx, {', '.join(f'{absent_('context', r)} AS {r}' for r in X.ABSENT)}, (context IS NULL OR {strip_('context')} IN {list_(X.STARTER_ABSENT)}) AS starter FROM fx")
+def context_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*X.ABSENT, "starter"]
+    return fixture(spark).select("row_idx", *[X.is_absent(F.col("context"), r).alias(r) for r in rules])
+
+
+@query(f"SELECT doc_id, sha256({norm_('text')}) AS normalized, length({norm_('text')}) AS n FROM documents")
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("t"))
+    return n.select("doc_id", F.sha2("t", 256).alias("normalized"), F.length("t").alias("n"))
+
+
+@query(f"WITH {QA} SELECT row_idx, sha256(m) AS text_fp, sha256(m || chr(10) || chr(10) || '__LABEL__' || chr(10) || label) AS labeled_fp FROM (SELECT row_idx, label, {marked_(norm_('prompt'), ctx_('context'), norm_('response'))} AS m FROM qa)")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.add_fingerprints(qa(spark, sf_dir)).select("row_idx", "text_fp", "labeled_fp")
+
+
+@query(f"WITH {FIXTURE_SQL} SELECT row_idx, {v5_('context')} AS context_v5, {v5_('response')} AS response_v5, {punct_(v5_('context'))} AS bare, {compact_(v5_('context'))} AS compact, {nums_('response')} AS numbers FROM fx")
+def normalized_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, r = X.normalize_v5(F.col("context")), X.normalize_v5(F.col("response"))
+    return fixture(spark).select("row_idx", c.alias("context_v5"), r.alias("response_v5"), X.strip_punctuation(c).alias("bare"), X.compact(c).alias("compact"), X.normalize_numbers(F.col("response")).alias("numbers"))
+
+
+@query(f"""WITH {QA}, c AS (SELECT *, {clean_('context', 'v4')} AS c FROM qa) SELECT row_idx,
+sha256('[PROMPT]' || chr(10) || prompt || chr(10) || chr(10) || '[CONTEXT_PRESENT]' || chr(10) || CASE WHEN c != '' THEN '1' ELSE '0' END || chr(10) || chr(10) || '[CONTEXT]' || chr(10) || c) AS pair_a,
+sha256('[RESPONSE]' || chr(10) || response) AS pair_b, sha256('[QUESTION] ' || prompt || chr(10) || '[EVIDENCE] ' || CASE WHEN c = '' THEN '[NO_EVIDENCE]' ELSE c END) AS semantic_a,
+CASE WHEN length(c) <= 100 THEN c ELSE substring(c, 1, 50) || chr(10) || '[...TRUNCATED...]' || chr(10) || right(c, 50) END AS cut FROM c""")
+def serialisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = qa(spark, sf_dir).withColumn("c", X.clean_context(F.col("context"), "v4"))
+    pair, sem = X.transformer_pair(F.col("prompt"), F.col("c"), F.col("response")), X.semantic_pair(F.col("prompt"), F.col("c"), F.col("response"))
+    return t.select("row_idx", F.sha2(pair["a"], 256).alias("pair_a"), F.sha2(pair["b"], 256).alias("pair_b"), F.sha2(sem["a"], 256).alias("semantic_a"), X.truncate_middle(F.col("c"), 100).alias("cut"))
+
+
+@query(r"SELECT doc_id, len(w) AS original, array_to_string(CASE WHEN len(w) <= 32 THEN w ELSE list_concat(w[1:16], w[-16:]) END, ' ') AS kept FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS w FROM documents)")
+def head_tail_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").alias("original"), F.array_join(X.head_tail(F.col("w"), 32), " ").alias("kept"))
+
+
+@query(r"WITH w AS (SELECT len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+')) AS n FROM documents) SELECT count(*) AS rows, count(*) FILTER (n > 384) AS truncated, avg(n) AS mean_original, avg(least(n, 384)) AS mean_kept FROM w")
+def truncation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").select(F.size(T.tokens(F.col("text"))).alias("n"))
+    return n.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 384).alias("truncated"), F.avg("n").alias("mean_original"), F.avg(F.least("n", F.lit(384))).alias("mean_kept"))
+
+
+@query(rf"WITH {FIXTURE_SQL} SELECT row_idx, regexp_replace(response, '\x{{1B}}\[((?:\d|;)*)([a-zA-Z])', '', 'g') AS plain, regexp_replace(context, '\r\n?|[\x{{2028}}\x{{2029}}\x{{85}}]', chr(10), 'g') AS lines FROM fx")
+def repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark).select("row_idx", X.remove_terminal_escapes(F.col("response")).alias("plain"), X.fix_line_breaks(F.col("context")).alias("lines"))
+
+
+# --- tokens ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FIXTURE_SQL}, c AS (SELECT row_idx, coalesce(context, '') AS c, response AS r FROM fx) SELECT row_idx, array_to_string(list_sort({set_('c')}), '|') AS token_set, array_to_string(list_sort({numset_('r')}), '|') AS numbers, array_to_string({toks_('c')}, '|') AS tokens, array_to_string({numerals_(toks_('c'))}, '|') AS numerals FROM c")
+def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, r = F.coalesce("context", F.lit("")), F.col("response")
+    return fixture(spark).select("row_idx", F.array_join(F.array_sort(T.token_set(c)), "|").alias("token_set"), F.array_join(F.array_sort(T.number_set(r)), "|").alias("numbers"), F.array_join(T.tokens(c), "|").alias("tokens"), F.array_join(T.numerals(T.tokens(c)), "|").alias("numerals"))
+
+
+@query(f"WITH {QA}, g AS (SELECT row_idx, {grams_(compact_('response'), 3)} AS g FROM qa) SELECT row_idx, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS grams FROM g")
+def char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = qa(spark, sf_dir).select("row_idx", T.char_ngrams(X.compact(F.col("response")), 3).alias("g"))
+    return t.select("row_idx", F.size("g").alias("n"), F.md5(F.array_join(F.array_sort("g"), "|")).alias("grams"))
+
+
+@query(rf"""WITH {QA}, w AS (SELECT row_idx, regexp_extract_all(lower(response), '[\p{{L}}\p{{N}}_]{{1,}}') AS w FROM qa),
+g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w)
+SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= 2""")
+def word_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa(spark, sf_dir).select(F.explode(T.word_ngrams(F.col("response"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+WB_SQL = """w AS (SELECT row_idx, ' ' || unnest(string_split({c}, ' ')) || ' ' AS w FROM {t}), wb AS (
+    SELECT row_idx, substring(w, i, n) AS term FROM (SELECT row_idx, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS i
+        FROM (SELECT row_idx, w, unnest(range({low}, {high} + 1)) AS n FROM w WHERE length(w) > 2) WHERE length(w) >= n OR n = {low})
+)"""
+
+
+@query(f"WITH {QA}, {WB_SQL.format(c=collapse_('response'), t='qa', low=3, high=5)} SELECT term, count(*) AS tf, count(DISTINCT row_idx) AS df FROM wb GROUP BY term HAVING count(*) >= 3")
+def char_wb_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = vectors.term_counts(qa(spark, sf_dir), "row_idx", T.char_wb_ngrams(F.col("response"), 3, 5))
+    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where("tf >= 3")
+
+
+@query(f"""WITH {QA}, t AS (SELECT row_idx, partition, unnest({toks_(v5_('response'))}) AS token FROM qa), f AS (SELECT token, count(*) AS n FROM t WHERE partition = 'public_train' GROUP BY token)
+SELECT row_idx, count(*) AS rare FROM t LEFT JOIN f USING (token) WHERE partition != 'public_train' AND coalesce(n, 0) <= 2 GROUP BY row_idx""")
+def rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qa(spark, sf_dir)
+    return features.rare_counts(rows.where("partition != 'public_train'"), "row_idx", "response", features.token_frequencies(rows.where("partition = 'public_train'"), "response"))
+
+
+# --- features -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {QA}, a AS (SELECT row_idx, {clean_('context')} AS c, response AS r FROM qa), b AS (SELECT *, {set_('c')} AS tc, {set_('r')} AS tr, {numset_('c')} AS nc, {numset_('r')} AS nr FROM a)
+SELECT row_idx, (c != '')::INT AS ctx_present, CASE WHEN c != '' THEN len(list_intersect(tr, tc)) / greatest(len(tr), 1) ELSE 0.0 END::DOUBLE AS word_overlap_ratio,
+CASE WHEN c != '' AND len(nr) > 0 THEN (len(list_intersect(nr, nc)) = len(nr))::INT ELSE 1 END AS numbers_supported,
+CASE WHEN c != '' AND len(nr) > 0 THEN len(list_intersect(nr, nc)) / len(nr) WHEN len(nr) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS number_overlap_ratio, (len(nr) > 0)::INT AS has_numbers_in_response,
+(c != '' AND {strip_('r')} != '' AND contains(c, {strip_('r')}))::INT AS is_substring, length(r) AS response_len_chars, length(c) AS context_len_chars FROM b""")
+def lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.lexical_features(qa(spark, sf_dir))
+    return rows.select("row_idx", "ctx_present", "word_overlap_ratio", "numbers_supported", "number_overlap_ratio", "has_numbers_in_response", "is_substring", "response_len_chars", "context_len_chars")
+
+
+_pf = ["response_in_context_exact", "response_in_context_no_punctuation", "context_in_response_exact", "response_token_coverage", "token_jaccard", "prompt_response_token_jaccard", "prompt_context_token_jaccard", "char3_jaccard", "char4_jaccard", "response_context_length_ratio", "numeric_consistency_ratio", "numeral_mismatch_count", "response_char_count", "response_token_count", "prompt_char_count", "prompt_token_count", "context_char_count", "context_token_count", "response_bengali_digit_count", "response_other_digit_count"]
+
+
+@query(f"""WITH {QA}, a AS MATERIALIZED (SELECT row_idx, response AS raw, {v5_('prompt')} AS p, {v5_('context')} AS c, {v5_('response')} AS r FROM qa WHERE NOT {absent_('context', 'v4')}),
+b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('c')} AS tc, {toks_('r')} AS tr, {compact_('c')} AS kc, {compact_('r')} AS kr, {compact_(punct_('c'))} AS nc, {compact_(punct_('r'))} AS nr FROM a),
+d AS MATERIALIZED (SELECT *, {numerals_('tr')} AS dr, {numerals_('tc')} AS dc, {grams_('kr', 3)} AS r3, {grams_('kc', 3)} AS c3, {grams_('kr', 4)} AS r4, {grams_('kc', 4)} AS c4 FROM b)
+SELECT row_idx, (r != '' AND contains(c, r))::INT AS response_in_context_exact, (nr != '' AND contains(nc, nr))::INT AS response_in_context_no_punctuation, (c != '' AND contains(r, c))::INT AS context_in_response_exact,
+CASE WHEN len(tr) = 0 THEN 1.0 ELSE {multi_('tr', 'tc')} / len(tr) END::DOUBLE AS response_token_coverage, ({jac_('tr', 'tc')})::DOUBLE AS token_jaccard, ({jac_('tp', 'tr')})::DOUBLE AS prompt_response_token_jaccard, ({jac_('tp', 'tc')})::DOUBLE AS prompt_context_token_jaccard,
+({jac_('r3', 'c3')})::DOUBLE AS char3_jaccard, ({jac_('r4', 'c4')})::DOUBLE AS char4_jaccard, length(r) / greatest(length(c), 1) AS response_context_length_ratio,
+CASE WHEN len(dr) = 0 THEN 1.0 ELSE {multi_('dr', 'dc')} / len(dr) END::DOUBLE AS numeric_consistency_ratio, (len(dr) - {multi_('dr', 'dc')})::BIGINT AS numeral_mismatch_count,
+length(r) AS response_char_count, len(tr) AS response_token_count, length(p) AS prompt_char_count, len(tp) AS prompt_token_count, length(c) AS context_char_count, len(tc) AS context_token_count,
+len(regexp_extract_all(raw, '[০-৯]')) AS response_bengali_digit_count, len(regexp_extract_all(raw, '\\p{{Nd}}')) - len(regexp_extract_all(raw, '[০-৯]')) AS response_other_digit_count FROM d""")
+def context_present_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.present_features(qa(spark, sf_dir).where(~X.is_absent(F.col("context"), "v4"))).select("row_idx", *_pf)
+
+
+@query()
+def longest_common_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qa(spark, sf_dir).where(~X.is_absent(F.col("context"), "v4"))
+    return features.longest_common(rows).select("row_idx", "longest_common_subsequence_ratio", "longest_common_substring_ratio")
+
+
+_lex = lambda l, words: f"len(list_filter({l}, lambda x: x IN {list_(words)}))"
+_af = ["prompt_response_char3_jaccard", "response_year_like_count", "response_punctuation_count", "response_negation_count", "response_uncertainty_count", "prompt_interrogative_count", "prompt_instruction_count", "response_latin_script_ratio", "prompt_has_question_mark", "response_named_entity_like_count", "response_numeral_count"]
+
+
+@query(rf"""WITH {QA}, a AS MATERIALIZED (SELECT row_idx, nfc_normalize(coalesce(response, '')) AS raw, {v5_('prompt')} AS p, {v5_('response')} AS r FROM qa WHERE {absent_('context', 'v4')}),
+b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('r')} AS tr, {toks_('raw')} AS src, {grams_(compact_('p'), 3)} AS p3, {grams_(compact_('r'), 3)} AS r3, regexp_extract_all(raw, '\p{{L}}') AS letters FROM a)
+SELECT row_idx, ({jac_('p3', 'r3')})::DOUBLE AS prompt_response_char3_jaccard, len(list_filter({numerals_('tr')}, lambda x: length(x) = 4)) AS response_year_like_count, len(regexp_extract_all(raw, '\p{{P}}')) AS response_punctuation_count,
+{_lex('tr', features.NEGATION)} AS response_negation_count, {_lex('tr', features.UNCERTAINTY)} AS response_uncertainty_count, {_lex('tp', features.INTERROGATIVE)} AS prompt_interrogative_count, {_lex('tp', features.INSTRUCTION)} AS prompt_instruction_count,
+CASE WHEN len(letters) = 0 THEN 0.0 ELSE len(list_filter(letters, lambda x: regexp_matches(x, '\p{{Latin}}'))) / len(letters) END::DOUBLE AS response_latin_script_ratio, contains(p, '?')::INT AS prompt_has_question_mark,
+len(list_filter(src, lambda x: regexp_matches(list_filter(regexp_extract_all(x, '\p{{L}}'), lambda y: regexp_matches(y, '\p{{Latin}}'))[1], '\p{{Lu}}') OR (regexp_matches(x, '\p{{L}}') AND regexp_matches(x, '\p{{Nd}}')))) AS response_named_entity_like_count,
+len({numerals_('tr')}) AS response_numeral_count FROM b""")
+def context_absent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.absent_features(qa(spark, sf_dir).where(X.is_absent(F.col("context"), "v4"))).select("row_idx", *_af)
+
+
+@query(f"""WITH {P}, u AS (SELECT present, label, unnest(['p_e0', 'p_e1']) AS feature, unnest([p_e0, p_e1]) AS x FROM p)
+SELECT present, label, feature, count(*) AS n, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_pop(x) AS std, min(x) AS low, max(x) AS high FROM u GROUP BY ALL""")
+def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _p(spark, sf_dir).unpivot(["present", "label"], ["p_e0", "p_e1"], "feature", "x")
+    return u.groupBy("present", "label", "feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+# --- relations ------------------------------------------------------------------------------------------------------------
+
+_FP = f"f AS (SELECT *, sha256(m) AS text_fp, sha256(m || label) AS labeled_fp FROM (SELECT *, {marked_(norm_('prompt'), ctx_('context'), norm_('response'))} AS m FROM qa))"
+_FP2 = _FP.replace("sha256(m || label)", "sha256(m || chr(10) || chr(10) || '__LABEL__' || chr(10) || label)")
+
+
+@query(f"""WITH {QA}, {_FP2}, o AS (SELECT * FROM f WHERE partition = 'official' QUALIFY row_number() OVER (PARTITION BY labeled_fp ORDER BY row_idx) = 1),
+v AS (SELECT * FROM f WHERE partition = 'public_validation' AND text_fp NOT IN (SELECT text_fp FROM o) QUALIFY row_number() OVER (PARTITION BY labeled_fp ORDER BY row_idx) = 1),
+t AS (SELECT * FROM f WHERE partition = 'public_train' AND text_fp NOT IN (SELECT text_fp FROM o UNION SELECT text_fp FROM v) QUALIFY row_number() OVER (PARTITION BY labeled_fp ORDER BY row_idx) = 1)
+SELECT row_idx, partition FROM o UNION ALL SELECT row_idx, partition FROM v UNION ALL SELECT row_idx, partition FROM t""")
+def precedence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations.add_fingerprints(qa(spark, sf_dir))
+    return relations.deduplicate_by_precedence(rows, "partition", ["official", "public_validation", "public_train"], "text_fp", "labeled_fp", ["row_idx"]).select("row_idx", "partition")
+
+
+@query(f"WITH {QA}, {_FP2} SELECT text_fp, count(*) AS n FROM f GROUP BY text_fp HAVING count(DISTINCT label) > 1")
+def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.label_conflicts(relations.add_fingerprints(qa(spark, sf_dir)), "text_fp")
+
+
+@query("SELECT doc_id FROM documents QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1")
+def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.duplicated(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k")), ["k"]).select("doc_id")
+
+
+@query(f"WITH {QA}, {_FP2}, k AS (SELECT DISTINCT partition, text_fp FROM f) SELECT a.partition AS a, b.partition AS b, count(*) AS n FROM k a JOIN k b USING (text_fp) WHERE a.partition < b.partition GROUP BY ALL")
+def partition_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.partition_overlaps(relations.add_fingerprints(qa(spark, sf_dir)), "partition", "text_fp")
+
+
+@query(f"WITH {QA}, {_FP2}, r AS (SELECT *, count(*) OVER (PARTITION BY partition, text_fp) AS k FROM f) SELECT partition, count(*) AS rows, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1, count(*) FILTER (context IS NULL) AS null_contexts, count(*) FILTER (k > 1) AS repeated_rows FROM r GROUP BY partition")
+def partition_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.partition_statistics(relations.add_fingerprints(qa(spark, sf_dir)), "partition", "text_fp")
+
+
+@query("SELECT o_orderkey, o_custkey, n, total FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY 1) USING (o_orderkey)")
+def aligned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
+    return relations.aligned_merge(orders, lines, ["o_orderkey"])
+
+
+_GROUPS = f"""k AS (SELECT row_idx, label, context, {norm_('prompt')} AS p, {norm_(clean_('context'))} AS c, {norm_('response')} AS r FROM qa),
+e AS (SELECT a.row_idx AS a, b.row_idx AS b FROM k a JOIN k b ON a.p = b.p AND a.c = b.c), reach(v, u) AS (SELECT row_idx, row_idx FROM k UNION SELECT v, b FROM reach JOIN e ON a = u),
+g AS (SELECT v AS row_idx, min(u) AS root FROM reach GROUP BY v)"""
+
+
+@query(f"WITH RECURSIVE {QA}, {_GROUPS} SELECT row_idx, 'group-' || lpad((dense_rank() OVER (ORDER BY root) - 1)::VARCHAR, 4, '0') AS group_id FROM g")
+def duplicate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.group_ids(relations.duplicate_groups(qa(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {QA}, {_GROUPS}, s AS (SELECT root, count(*) AS size FROM g GROUP BY root) SELECT count(*) AS groups, count(*) FILTER (size > 1) AS larger, max(size) AS largest, sum(size - 1)::BIGINT AS links FROM s")
+def family_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.group_audit(relations.duplicate_groups(qa(spark, sf_dir)))
+
+
+@query("WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) HAVING count(*) > 0")
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"))
+    return relations.multiset_difference(a, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey AS c_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1)")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    return relations.keep_first(orders, ["c_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+# --- metrics and selection ------------------------------------------------------------------------------------------------
+
+_PRED = P + ", m AS (SELECT *, (p >= 0.5)::INT AS prediction FROM p)"
+_GRID = "t AS (SELECT i / 100::DOUBLE AS threshold FROM range({0}, {1}, {2}) r(i)), s AS (SELECT {3} threshold, label, (p >= threshold)::INT AS prediction FROM p CROSS JOIN t), c AS (SELECT {3} threshold, {4} FROM s GROUP BY {3} threshold), tt AS (SELECT *, {5}, greatest(tp + fp, tn + fn) / (tn + fp + fn + tp) AS max_share FROM c)"
+_TT = P + ", " + _GRID.format(20, 81, 1, "", cells_, f1_)
+_cols = "threshold, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, f1_label0, f1_label1, macro_f1, accuracy, max_share"
+
+
+@query(f"WITH {_PRED}, c AS (SELECT present, {cells_} FROM m GROUP BY present) SELECT *, {f1_} FROM c")
+def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.classification_metrics(_p(spark, sf_dir).withColumn("prediction", metrics.at_threshold(F.col("p"), F.lit(0.5))), ["present"])
+
+
+@query(f"WITH {_TT} SELECT {_cols} FROM tt")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.threshold_table(_p(spark, sf_dir), metrics.grid(20, 80))
+
+
+_TP = "SELECT '{0}' AS strategy, threshold, macro_f1, f1_label0 FROM (SELECT * FROM tt {3} ORDER BY {1} DESC, {2} DESC, abs(threshold - 0.5), threshold LIMIT 1)"
+
+
+@query(f"WITH {_TT} {_TP.format('macro', 'macro_f1', 'f1_label0', '')} UNION ALL {_TP.format('class0', 'f1_label0', 'macro_f1', '')} UNION ALL {_TP.format('guarded', 'macro_f1', 'f1_label0', 'WHERE max_share <= 0.9')}")
+def selected_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = metrics.threshold_table(_p(spark, sf_dir), metrics.grid(20, 80))
+    each = [metrics.select_threshold(t, s, guard=g).select(F.lit(n).alias("strategy"), "threshold", "macro_f1", "f1_label0") for n, s, g in (("macro", "macro", None), ("class0", "class0", None), ("guarded", "macro", 0.9))]
+    return each[0].union(each[1]).union(each[2])
+
+
+_RT = P + ", " + _GRID.format(20, 81, 2, "present,", cells_, f1_)
+
+
+@query(f"WITH {_RT} SELECT present, threshold, macro_f1 FROM tt QUALIFY row_number() OVER (PARTITION BY present ORDER BY macro_f1 DESC, f1_label0 DESC, abs(threshold - 0.5), threshold) = 1")
+def route_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = metrics.threshold_table(_p(spark, sf_dir), metrics.grid(20, 80, 2), ["present"])
+    return metrics.select_threshold(t, "macro", ["present"]).select("present", "threshold", "macro_f1")
+
+
+@query(f"WITH {_PRED}, c AS (SELECT {cells_}, avg((p - label) * (p - label)) AS brier, avg(p) AS mean_p, stddev_pop(p) AS std_p, count(*) FILTER (prediction = 0) AS predicted_0, count(*) FILTER (prediction = 1) AS predicted_1 FROM m) SELECT *, {f1_} FROM c")
+def metric_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.metric_record(_p(spark, sf_dir))
+
+
+@query(f"""WITH {P}, b AS (SELECT i::INT AS bin, i * 0.1::DOUBLE AS low, (i + 1) * 0.1::DOUBLE AS high FROM range(10) r(i)), x AS (SELECT b.bin, p.p, p.label FROM p JOIN b ON p.p >= b.low AND (p.p < b.high OR b.bin = 9))
+SELECT bin, low, high, count(p) AS n, avg(p) AS mean_p, avg(label::DOUBLE) AS rate FROM b LEFT JOIN x USING (bin) GROUP BY bin, low, high""")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.calibration_table(_p(spark, sf_dir))
+
+
+@query(f"WITH {P} SELECT count(*) AS n, min(p) AS min_p, max(p) AS max_p, avg(p) AS mean_p, stddev_pop(p) AS std_p, avg(label::DOUBLE) AS prevalence, " + ", ".join(f"quantile_cont(p, {x}) AS q{round(x * 100):02d}" for x in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM p")
+def probability_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.probability_diagnostics(_p(spark, sf_dir))
+
+
+@query(f"WITH {P}, a AS (SELECT p FROM p WHERE label = 1), b AS (SELECT p FROM p WHERE label = 0) SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auc FROM a CROSS JOIN b")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.auc(_p(spark, sf_dir))
+
+
+@query(f"""WITH {P}, r AS (SELECT label, unnest([p_e0, p_e1, CASE WHEN present THEN p_e1 ELSE p_e0 END, CASE WHEN present THEN p_e1 ELSE 0.5::DOUBLE * p_e0 + 0.5::DOUBLE * p_e1 END, CASE WHEN present THEN p_e1 ELSE 0.25::DOUBLE * p_e0 + 0.75::DOUBLE * p_e1 END]) AS p, unnest(['e0', 'e1', 'e1_present_e0_absent', 'half', 'quarter']) AS rule, unnest(range(5)) AS i FROM p),
+t AS (SELECT k / 100::DOUBLE AS threshold FROM range(40, 61, 2) x(k)), s AS (SELECT rule, i, threshold, label, (p >= threshold)::INT AS prediction FROM r CROSS JOIN t), c AS (SELECT rule, i, threshold, {cells_} FROM s GROUP BY ALL), tt AS (SELECT *, {f1_} FROM c)
+SELECT rule, threshold, macro_f1 FROM tt ORDER BY macro_f1 DESC, f1_label0 DESC, abs(threshold - 0.5), i, threshold LIMIT 1""")
+def blend_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _p(spark, sf_dir)
+    rules = metrics.route_rules(F.col("p_e0"), F.col("p_e1"), F.col("present"))
+    each = t.select("label", F.posexplode(F.array(*rules.values())).alias("i", "p"))
+    table_ = metrics.threshold_table(each, metrics.grid(40, 60, 2), ["i"])
+    first = metrics.best(table_, [F.desc("macro_f1"), F.desc("f1_label0"), F.abs(F.col("threshold") - 0.5), F.col("i"), F.col("threshold")])
+    return first.select(F.element_at(F.array(*map(F.lit, rules)), F.col("i") + 1).alias("rule"), "threshold", "macro_f1")
+
+
+@query(f"WITH {P} SELECT count(*) FILTER (w0 AND w1) AS both_wrong, count(*) FILTER (w0 AND NOT w1) AS only_e0, count(*) FILTER (w1 AND NOT w0) AS only_e1, count(*) FILTER (w0 != w1) AS disagree FROM (SELECT (p_e0 >= 0.5)::INT != label AS w0, (p_e1 >= 0.5)::INT != label AS w1 FROM p)")
+def error_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w0, w1 = ((F.col(x) >= 0.5).cast("int") != F.col("label") for x in ("p_e0", "p_e1"))
+    return _p(spark, sf_dir).agg(F.count_if(w0 & w1).alias("both_wrong"), F.count_if(w0 & ~w1).alias("only_e0"), F.count_if(w1 & ~w0).alias("only_e1"), F.count_if(w0 != w1).alias("disagree"))
+
+
+@query(f"WITH {QA}, n AS (SELECT *, {v5_('response')} AS r, {v5_('context')} AS c, NOT {absent_('context', 'v7')} AS present FROM qa) SELECT row_idx, CASE WHEN present THEN (r != '' AND contains(c, r))::INT ELSE (p_e1 >= 0.5)::INT END AS routed, CASE WHEN present AND length(r) >= 8 AND contains(c, r) THEN 0.995 ELSE p_e0 END::DOUBLE AS supported, 1 / (1 + exp(p_e0 - p_e1)) AS softmax FROM n")
+def routed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = qa(spark, sf_dir).withColumns({"r": X.normalize_v5(F.col("response")), "c": X.normalize_v5(F.col("context")), "present": ~X.is_absent(F.col("context"), "v7")})
+    routed = F.when(F.col("present"), models.substring_rule(F.col("r"), F.col("c"))).otherwise(metrics.at_threshold(F.col("p_e1"), F.lit(0.5)))
+    return t.select("row_idx", routed.alias("routed"), models.exact_support(F.col("p_e0"), F.col("present"), F.col("r"), F.col("c")).alias("supported"), models.softmax2(F.col("p_e0"), F.col("p_e1")).alias("softmax"))
+
+
+# --- folds ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {QA} SELECT row_idx, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42-' || row_idx), row_idx) - 1) % 5)::INT AS fold FROM qa")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.stratified_folds(qa(spark, sf_dir), 5, 42)
+
+
+_FOLDS = f"{QA}, {_GROUPS}, z AS (SELECT row_idx, label, root, NOT {absent_('context', 'v7')} AS present FROM g JOIN k USING (row_idx)), gs AS (SELECT root, count(*) AS n, avg(label) >= 0.5 AS major FROM z GROUP BY root), gf AS (SELECT root, seed, ((row_number() OVER (PARTITION BY seed, major ORDER BY n DESC, md5(seed || '-' || root), root) - 1) % 5)::INT AS fold FROM gs CROSS JOIN (SELECT unnest([17, 29, 43]) AS seed)), fo AS (SELECT row_idx, label, root, seed, fold, present FROM z JOIN gf USING (root))"
+
+
+def _folds(spark, sf_dir):
+    rows = qa(spark, sf_dir)
+    groups = relations.duplicate_groups(rows).join(rows.select("row_idx", "label"), "row_idx")
+    return folds.grouped_folds(groups, 5)
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT row_idx, label, root, seed, fold FROM fo")
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folds(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_FOLDS}, tr AS (SELECT f.*, o.outer_fold FROM fo f CROSS JOIN (SELECT unnest(range(5))::INT AS outer_fold) o WHERE f.fold != o.outer_fold), ig AS (SELECT seed, outer_fold, root, ((row_number() OVER (PARTITION BY seed, outer_fold, avg(label) >= 0.5 ORDER BY count(*) DESC, md5((seed * 100 + outer_fold) || '-' || root), root) - 1) % 3)::INT AS inner_fold FROM tr GROUP BY seed, outer_fold, root) SELECT seed, outer_fold AS fold, row_idx, inner_fold FROM tr JOIN ig USING (seed, outer_fold, root)")
+def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.inner_folds(_folds(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT seed, o AS fold, CASE WHEN fold = o THEN 'valid' ELSE 'train' END AS role, CASE WHEN present THEN 'present' ELSE 'absent' END AS route, count(*) AS rows, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1, count(DISTINCT root) AS groups FROM fo CROSS JOIN (SELECT unnest(range(5))::INT AS o) GROUP BY ALL")
+def fold_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = qa(spark, sf_dir).select("row_idx", (~X.is_absent(F.col("context"), "v7")).alias("present"))
+    return folds.feasibility(_folds(spark, sf_dir).join(present, "row_idx"))
+
+
+# --- audits ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {QA} SELECT count(*) FILTER (prompt IS NULL) AS null_prompts, count(*) FILTER (response IS NULL) AS null_responses, count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) AS bad_labels, 2 - count(DISTINCT label) FILTER (label IN (0, 1)) AS missing_labels, (count(*) = 0)::INT AS empty FROM qa")
+def labeled_frame_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.labeled_frame(qa(spark, sf_dir))
+
+
+@query(f"WITH {QA}, s AS (SELECT row_idx, seed, p_e1 AS p1, 1 - p_e1 AS p0 FROM qa CROSS JOIN (SELECT unnest([17, 29, 43]) AS seed) WHERE NOT (seed = 29 AND row_idx % 50 = 0)) SELECT (SELECT count(*) FILTER (p1 NOT BETWEEN 0 AND 1 OR p0 NOT BETWEEN 0 AND 1) FROM s) AS out_of_range, (SELECT count(*) FILTER (abs(p0 + p1 - 1) > 1e-9) FROM s) AS bad_sums, 0::BIGINT AS repeated, (SELECT count(*) FROM qa WHERE row_idx % 50 = 0) AS missing, 0::BIGINT AS unknown")
+def probability_frame_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qa(spark, sf_dir)
+    seeds = rows.select("row_idx", F.explode(F.array(F.lit(17), F.lit(29), F.lit(43))).alias("seed"), F.col("p_e1").alias("p1"), (1 - F.col("p_e1")).alias("p0"))
+    return audits.probability_frame(seeds.where(~((F.col("seed") == 29) & (F.col("row_idx") % 50 == 0))), rows)
+
+
+@query(f"WITH {QA} SELECT row_number() OVER (ORDER BY row_idx) AS ordinal, row_idx AS id, (p_e1 >= 0.54)::INT AS label FROM qa")
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = qa(spark, sf_dir).select(F.row_number().over(W.orderBy("row_idx")).cast("long").alias("ordinal"), F.col("row_idx").alias("id"), "p_e1")  # a submission is one ordered file
+    return sinks.build_submission(test, test.select("ordinal", metrics.at_threshold(F.col("p_e1"), F.lit(0.54)).alias("label")))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT url, page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) || chr(10) || chr(10) || regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS text FROM pages),
+a AS (SELECT url, page_id, substring(text, 1, instr(text, chr(10) || chr(10)) - 1) AS title, substring(regexp_replace(substring(text, instr(text, chr(10) || chr(10)) + 2), '^""" + WS + "+|" + WS + """+$', '', 'g'), 1, 800) AS snippet FROM b)
+SELECT url, title, snippet, title || ' ' || snippet AS search_blob FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE length(snippet) > 50""")
+def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.lit("\n\n"), F.regexp_replace("html", r"(?s)<[^>]*>", " "))
+    return tables.articles(table(spark, sf_dir, "pages").select("url", "page_id", text.alias("text")), "page_id")
+
+
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+_TFIDF = f"""dt AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM dt GROUP BY term HAVING count(*) >= 2),
+dw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM dt JOIN v USING (term))"""
+
+
+def _tfidf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    counts = vectors.term_counts(docs, "doc_id", words("text"))
+    vocab = vectors.vocabulary(counts, docs.count(), 2)
+    return words, vocab, vectors.weights(counts, vocab, "doc_id")
+
+
+@query(f"WITH {_TFIDF} SELECT id AS doc_id, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS largest FROM dw GROUP BY id")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tfidf(spark, sf_dir)[2].groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("largest"))
+
+
+@query(f"""WITH {_TFIDF}, qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL), qw AS (SELECT item_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS w FROM qt JOIN v USING (term)),
+s AS (SELECT item_id, dw.id AS doc, round(sum(qw.w * dw.w), 12) AS similarity FROM qw JOIN dw USING (term) GROUP BY ALL) SELECT item_id, doc, round(similarity, 6) AS similarity, similarity >= 0.25 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc) = 1""")
+def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, vocab, index = _tfidf(spark, sf_dir)
+    asked = vectors.weights(vectors.term_counts(table(spark, sf_dir, "benchmark"), "item_id", words("text")), vocab, "item_id")
+    found = vectors.retrieve(asked, index.withColumnRenamed("doc_id", "doc"), 0, "item_id")
+    return found.select("item_id", "doc", F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= 0.25).alias("accepted"))
+
+
+@query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), """ + WB_SQL.replace("row_idx", "doc_id").format(c=collapse_("text"), t="t", low=3, high=3) + """,
+c AS (SELECT doc_id, term, count(*) AS tf FROM wb GROUP BY ALL), s AS (SELECT doc_id % 2 AS side, doc_id, term, tf FROM c), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term),
+u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS x, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM c JOIN v USING (term))
+SELECT a.doc_id AS l, b.doc_id AS r, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b USING (term) JOIN t x ON x.doc_id = a.doc_id JOIN t y ON y.doc_id = b.doc_id
+WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND least(x.n, y.n) >= 0.9 * greatest(x.n, y.n) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.97""")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left, right = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("l"), "text"), docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("r"), "text")
+    found = vectors.near_duplicates(left, right, T.char_wb_ngrams(F.col("text"), 3, 3))
+    return found.select("l", "r", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT label, i - 1 AS at, avg(x::DOUBLE) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL")
+def pooled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.mean_pool(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query("SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
+
+
+@query()
+def cross_fitted_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold probabilities of the balanced logistic model on the eight lexical features."""
+    rows = features.lexical_features(qa(spark, sf_dir))
+    columns = ["ctx_present", "word_overlap_ratio", "numbers_supported", "number_overlap_ratio", "has_numbers_in_response", "is_substring", "response_len_chars", "context_len_chars"]
+    scored = models.cross_fit(rows.join(folds.stratified_folds(rows, 5, 42).select("row_idx", "fold"), "row_idx"), columns, 5)
+    return scored.select("row_idx", "label", "fold", F.col("p").alias("p1"), (1 - F.col("p")).alias("p0"))
