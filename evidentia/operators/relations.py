@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -95,19 +98,24 @@ def star_edges(rows: DataFrame, key: Column, row: str = "row_idx") -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, row: str = "row_idx") -> DataFrame:
     """(row, root): the least row that each reaches. Labels pass along edges, then to the label's own label, each round written
-    to the session's checkpoint folder, until nothing changes."""
+    as Parquet to the session's checkpoint folder, until nothing changes."""
     spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+    def filed(df: DataFrame) -> DataFrame:
+        path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().checkpoint()
-    labels = nodes.select(F.col(row).alias("v"), F.col(row).alias("c")).checkpoint()
+    both = filed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
+    labels = filed(nodes.select(F.col(row).alias("v"), F.col(row).alias("c")))
     while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("m"))
         new = labels.join(near, labels["v"] == near["a"], "left").select("v", "c", F.least("c", F.coalesce("m", "c")).alias("m"))
         jump = labels.select(F.col("v").alias("m"), F.col("c").alias("j"))
-        new = new.join(jump, "m").select("v", "c", F.least("m", "j").alias("m")).checkpoint()
+        new = filed(new.join(jump, "m").select("v", "c", F.least("m", "j").alias("m")))
         if new.where("m < c").isEmpty():
             return labels.select(F.col("v").alias(row), F.col("c").alias("root"))
         labels = new.select("v", F.col("m").alias("c"))
