@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder as Parquet. For loops: unlike a checkpoint, what is read back carries neither the
+    estimates nor the constraints of the plan that made it, which grow from round to round."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lower_az(c: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia.llm import _numeric
-from evidentia.llm._common import keep_only, saved, small
+from evidentia.llm._common import filed, keep_only, saved, small
 
 WIDTH, PERCENT = 4, 85
 
@@ -138,13 +138,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, per
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for each end of `edges` (a, b): the least v that it reaches. Labels pass along edges and then to the label's own
     label, till nothing changes; each round is saved."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")))
+    both = filed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = filed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")))
     while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         passed = labels.join(near, "v").select("v", "c", F.least("c", "m").alias("m"))
         jump = labels.select(F.col("v").alias("m"), F.col("c").alias("j"))
-        new = saved(passed.join(jump, "m", "left").select("v", "c", F.least("m", F.coalesce("j", "m")).alias("m")))
+        new = filed(passed.join(jump, "m", "left").select("v", "c", F.least("m", F.coalesce("j", "m")).alias("m")))
         if new.where("m < c").isEmpty():
             return labels
         labels = new.select("v", F.col("m").alias("c"))
