@@ -164,23 +164,25 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     levels = frequency_levels(docs, width, text_col)
     facts = saved(signatures(docs, levels, width, percent, id_col, text_col))
     sets = saved(facts.where("n > 0").groupBy("fp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_md5").alias("text_md5")))
-    groups = sets.groupBy("gid").agg(F.min("fp").alias("first"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = saved(sets.groupBy("gid").agg(F.min("fp").alias("first"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     fits = lambda other: F.coalesce(_sizes(F.col("n"), other, percent), F.lit(False))
-    postings = groups.select("gid", "first", "members", "n", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("class"), F.explode("prefix").alias("token"))
-    run, own = W.partitionBy("token").orderBy("class", "n", "gid"), W.partitionBy("token", "class").orderBy("n", "gid")
-    postings = postings.withColumn("leader", F.first("first").over(own)).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | (F.col("members") > 1)})
-    postings = saved(postings.where("beside").select("token", "gid", "n", "class", "first", "leader", "before"))
-    stars = postings.where("first != leader").select("leader", "gid").union(postings.where("first = leader and before is not null").select("before", "gid"))
-    members = sets.select("gid", "fp")
-    pairs = stars.distinct().join(members, "gid").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
-    inside = members.join(groups.where("members > 1").select("gid", "first"), "gid").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    # One shuffle, by shingle, serves both windows; a group goes by its first set.
+    postings = groups.select("first", "many", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
+    postings = postings.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    run, own = W.partitionBy("token").orderBy("class", "n", "first"), W.partitionBy("token", "class").orderBy("n", "first")
+    postings = postings.withColumn("leader", F.first("first").over(own)).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
+    postings = saved(postings.where("beside").select("token", "n", "first", "leader", "before"))
+    stars = postings.where("first != leader").select("leader", "first").union(postings.where("first = leader and before is not null").select("before", "first"))
+    members = saved(sets.select("gid", "fp").join(groups.select("gid", "first"), "gid").select("first", "fp"))
+    pairs = stars.distinct().join(members, "first").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
+    inside = members.select(F.col("first").alias("a"), F.col("fp").alias("b"))
     ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = saved(ordered(pairs.union(inside)))
     edges = saved(verified(pairs, sets, docs, width, percent, text_col))
     found = components(edges)
 
     # What is not yet connected: postings whose sets lie in different components.
-    placed = postings.select("token", "gid", "n").join(members, "gid").join(found.withColumnRenamed("v", "fp"), "fp", "left").select("token", "n", "fp", F.coalesce("c", "fp").alias("c"))
+    placed = postings.select("token", "first", "n").join(members, "first").join(found.withColumnRenamed("v", "fp"), "fp", "left").select("token", "n", "fp", F.coalesce("c", "fp").alias("c"))
     placed = saved(placed)
     open_tokens = saved(placed.groupBy("token").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("token"))
     left = placed.join(open_tokens, "token")
