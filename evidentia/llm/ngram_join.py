@@ -156,39 +156,48 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     Equal sets are one from the start, and sets of equal prefix and size are one group for candidate search. Documents without
     words, and null texts, have no shingle and are components of their own; null ids count for nothing unless a component
     has no other. Every pair that a shared prefix shingle suggests is either verified or already connected:
-    1. In the postings of a shingle, sorted by size, groups next to each other tell whether any sizes there fit. Each group
-       that has such a neighbour is compared with the first of its size class (and the first of a class with the class
-       before), and each set of a group with the group's first: as many pairs as postings, however large a group of copies.
+    1. In the postings of a shingle, sorted by size, groups next to each other tell whether any sizes there fit. Groups that
+       have such a neighbour vote, in each posting, for the group of least key in their size class (which votes for that of the
+       class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
+       at most, however large a group of copies.
     2. Pairs of sets that still lie in different components are compared in full.
     The sketch puts shingles that many documents hold behind the others, so they are in a prefix only if little else is."""
     levels = frequency_levels(docs, width, text_col)
     facts = saved(signatures(docs, levels, width, percent, id_col, text_col))
     sets = saved(facts.where("n > 0").groupBy("fp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_md5").alias("text_md5")))
-    groups = saved(sets.groupBy("gid").agg(F.min("fp").alias("first"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # A group goes by a 64-bit key; should two groups have one key, both are looked at.
+    members = saved(sets.select(F.xxhash64("gid").alias("key"), "fp"))
+    groups = sets.groupBy("gid").agg((F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = saved(members.groupBy("key").agg(F.min("fp").alias("first")))
     fits = lambda other: F.coalesce(_sizes(F.col("n"), other, percent), F.lit(False))
-    # One shuffle, by shingle, serves both windows; a group goes by its first set.
-    postings = groups.select("first", "many", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
+    # One shuffle, by shingle, serves all windows.
+    postings = groups.select(F.xxhash64("gid").alias("key"), "many", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
     postings = postings.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    run, own = W.partitionBy("token").orderBy("class", "n", "first"), W.partitionBy("token", "class").orderBy("n", "first")
-    postings = postings.withColumn("leader", F.first("first").over(own)).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
-    postings = saved(postings.where("beside").select("token", "n", "first", "leader", "before"))
-    stars = postings.where("first != leader").select("leader", "first").union(postings.where("first = leader and before is not null").select("before", "first"))
-    members = saved(sets.select("gid", "fp").join(groups.select("gid", "first"), "gid").select("first", "fp"))
-    pairs = stars.distinct().join(members, "first").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
-    inside = members.select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    run = W.partitionBy("token").orderBy("class", "n", "key")
+    postings = postings.withColumn("leader", F.min("key").over(W.partitionBy("token", "class"))).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
+    postings = saved(postings.where("beside").select("token", "n", "key", "leader", "before"))
+    stars = postings.where("key != leader").select("leader", "key").union(postings.where("before != leader").select("before", "leader"))
+    votes = stars.groupBy("key", "leader").count()
+    best = votes.groupBy("key").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    one = heads.select(F.col("key").alias("leader"), F.col("first").alias("a"))
+    pairs = best.join(one, "leader").join(members, "key").select("a", F.col("fp").alias("b"))
+    inside = heads.join(members, "key").select(F.col("first").alias("a"), F.col("fp").alias("b"))
     ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = saved(ordered(pairs.union(inside)))
     edges = saved(verified(pairs, sets, docs, width, percent, text_col))
     found = components(edges)
 
     # What is not yet connected: postings whose sets lie in different components.
-    placed = postings.select("token", "first", "n").join(members, "first").join(found.withColumnRenamed("v", "fp"), "fp", "left").select("token", "n", "fp", F.coalesce("c", "fp").alias("c"))
-    placed = saved(placed)
-    open_tokens = saved(placed.groupBy("token").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("token"))
-    left = placed.join(open_tokens, "token")
-    l, r = left.select("token", F.col("n").alias("nl"), F.col("fp").alias("a"), F.col("c").alias("cl")), left.select("token", F.col("n").alias("nr"), F.col("fp").alias("b"), F.col("c").alias("cr"))
-    more = l.join(r, (l["token"] == r["token"]) & (F.col("a") < F.col("b")) & (F.col("cl") != F.col("cr")) & _sizes(F.col("nl"), F.col("nr"), percent)).select("a", "b").distinct()
-    more = saved(more.join(pairs, ["a", "b"], "left_anti"))
+    placed = saved(members.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.xxhash64(F.coalesce("c", "fp")).alias("c")))
+    parts = saved(placed.select("key", "c").distinct())
+    each = W.partitionBy("token")
+    left = postings.select("token", "n", "key").join(small(parts), "key").withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)})
+    left = saved(left.where("low != high").select("token", "n", "key", "c"))
+    l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "key", "c")]) for side in "lr")
+    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).select("keyl", "cl", "keyr", "cr").distinct()
+    for x, side in zip("ab", "lr"):
+        more = more.join(placed.select(F.col("key").alias("key" + side), F.col("c").alias("c" + side), F.col("fp").alias(x)), ["key" + side, "c" + side])
+    more = saved(ordered(more).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         extra = saved(verified(more, sets, docs, width, percent, text_col))
         if not extra.isEmpty():
