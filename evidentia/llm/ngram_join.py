@@ -108,13 +108,18 @@ def _sizes(a, b, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _common(a, b, percent: int):
+    """How many shingles sets of sizes a and b must share to link."""
+    return F.ceil(F.lit(percent) * (a + b) / float(100 + percent) - 1e-9)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
     """The pairs (a, b) of digests in `sets` (fp, n, prefix, text_md5) that link.
 
     Prefixes come first: common shingles not in both prefixes lie behind one of them. Of what is left the whole sets are made
     again, one for each set that occurs, and intersected."""
     left, right = (sets.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / float(100 + percent) - 1e-9)
+    need = _common(F.col("na"), F.col("nb"), percent)
     rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     likely = pairs.join(left, "a").join(right, "b").where(_sizes(F.col("na"), F.col("nb"), percent)).where(F.size(F.array_intersect("pa", "pb")) + rest >= need).select("a", "b", "na", "nb")
     likely = saved(likely)
@@ -160,7 +165,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
        have such a neighbour vote, in each posting, for the group of least key in their size class (which votes for that of the
        class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
        at most, however large a group of copies.
-    2. Pairs of sets that still lie in different components are compared in full.
+    2. Pairs of sets that still lie in different components are compared in full, if they share as many prefix shingles as
+       links need at least.
     The sketch puts shingles that many documents hold behind the others, so they are in a prefix only if little else is."""
     levels = frequency_levels(docs, width, text_col)
     facts = saved(signatures(docs, levels, width, percent, id_col, text_col))
@@ -194,7 +200,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     left = postings.select("token", "n", "key").join(small(parts), "key").withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)})
     left = saved(left.where("low != high").select("token", "n", "key", "c"))
     l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "key", "c")]) for side in "lr")
-    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).select("keyl", "cl", "keyr", "cr").distinct()
+    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).groupBy("keyl", "cl", "nl", "keyr", "cr", "nr").count()
+    # Every common prefix shingle has been counted; common shingles beyond the prefixes lie behind one of them.
+    behind = F.ceil(F.lit(percent) * F.greatest("nl", "nr") / 100.0 - 1e-9) - 1
+    more = more.where(F.col("count") + behind >= _common(F.col("nl"), F.col("nr"), percent)).select("keyl", "cl", "keyr", "cr").distinct()
     for x, side in zip("ab", "lr"):
         more = more.join(placed.select(F.col("key").alias("key" + side), F.col("c").alias("c" + side), F.col("fp").alias(x)), ["key" + side, "c" + side])
     more = saved(ordered(more).join(pairs, ["a", "b"], "left_anti"))
