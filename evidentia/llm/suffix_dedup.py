@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -214,8 +215,10 @@ def _anchors(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     def run(batches):
         roller = _numeric.Roller()
         for batch in batches:
-            grams = [stretches((t or "").encode("utf-8", "surrogatepass"), roller, length)[0] for t in batch.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
+            copies = Counter(batch.column(0).to_pylist())  # equal texts of a batch are walked once
+            grams = [stretches((t or "").encode("utf-8", "surrogatepass"), roller, length)[0] for t in copies]
+            values, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
+            n = np.bincount(at, np.repeat(list(copies.values()), list(map(len, grams))), len(values))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -250,14 +253,18 @@ def _filter(twice: DataFrame) -> np.ndarray:
 
 def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: bool) -> DataFrame:
     """The stretches whose anchor may occur twice. contents: (gram, id, n, text), each once a task, n the times it stands
-    there; else (text_md5, start, id) of each. id: a digest of gram and text."""
+    there; else (text_md5, start, id) of each, each text once a task. id: a digest of gram and text."""
 
     def run(batches):
-        roller = _numeric.Roller()
+        roller, told = _numeric.Roller(), set()
         shift = np.uint64(64 - FILTER_BITS)
         for batch in batches:
             kept, rows = {}, []
-            for md5, text in zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist()):
+            for (md5, text), copies in Counter(zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist())).items():
+                if not contents:
+                    if md5 in told:
+                        continue
+                    told.add(md5)
                 text = (text or "").encode("utf-8", "surrogatepass")
                 grams, starts, windows = stretches(text, roller, length)
                 slot = grams >> shift
@@ -268,9 +275,9 @@ def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: b
                     if contents:
                         row = kept.get(i)
                         if row is None:
-                            kept[i] = [g - (1 << 64) if g >> 63 else g, i, 1, part]
+                            kept[i] = [g - (1 << 64) if g >> 63 else g, i, copies, part]
                         else:
-                            row[2] += 1
+                            row[2] += copies
                     else:
                         rows.append((md5, s, i))
             if contents:
