@@ -113,11 +113,19 @@ def _common(a, b, percent: int):
     return F.ceil(F.lit(percent) * (a + b) / float(100 + percent) - 1e-9)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
-    """The pairs (a, b, ...) of digests in `sets` (fp, n, text_md5) with the sizes na and nb, what only b and only a has (new
-    and gone) and whether they link. The sets are made again, one for each that occurs."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(sets.select("fp", "text_md5"), "fp")
-    wanted = saved(wanted)
+def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
+    """The pairs (a, b) of digests in `facts` (fp, n, prefix, text_md5) that link.
+
+    Prefixes come first: common shingles not in both prefixes lie behind one of them. Of what is left the whole sets are made
+    again, one for each set that occurs, and intersected."""
+    ends = saved(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    sets = saved(facts.join(small(ends), "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_md5").alias("text_md5")))
+    left, right = (sets.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    need = _common(F.col("na"), F.col("nb"), percent)
+    rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    likely = pairs.join(left, "a").join(right, "b").where(_sizes(F.col("na"), F.col("nb"), percent)).where(F.size(F.array_intersect("pa", "pb")) + rest >= need).select("a", "b", "na", "nb")
+    likely = saved(likely)
+    wanted = saved(likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct().join(sets.select("fp", "text_md5"), "fp"))
 
     def make(batches):
         for batch in batches:
@@ -129,28 +137,8 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, per
     texts = docs.select(F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text")).join(small(wanted), "text_md5").select("fp", "text")
     whole = saved(texts.mapInArrow(make, "fp binary, shingles array<long>").dropDuplicates(["fp"]))
     a, b = (whole.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    rows = pairs.join(a, "a").join(b, "b").withColumns({"na": F.size("sa"), "nb": F.size("sb"), "new": F.array_except("sb", "sa"), "gone": F.array_except("sa", "sb")})
-    common = F.col("nb") - F.size("new")
-    return rows.drop("sa", "sb").withColumn("linked", common * 100 >= (F.col("na") + F.col("nb") - common) * percent)
-
-
-def near_pivots(deltas: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one pivot, in different components, that may link.
-
-    deltas: (a, b, na, nb, d, tokens, linked): the pivot, a set, its number of shingles that only one of the two has, and
-    the first of those. Sets x and y differ in d(x) + d(y) - 2 * (what their differences share) shingles. A set that does not
-    link with the pivot links with none whose difference shares nothing with its own, so the differences are joined by
-    prefixes; that two sets share most of the pivot suggests nothing."""
-    rows = deltas.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), F.col("nb").alias("n"), "d", (~F.col("linked")).alias("open"), F.posexplode("tokens").alias("at", "token"))
-    rows = rows.join(small(placed.select("fp", "c")), "fp")
-    each = W.partitionBy("pivot", "token")
-    rows = saved(rows.withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)}).where("low != high").drop("low", "high"))
-    x, y = (rows.select("pivot", "token", *[F.col(k).alias(k + side) for k in ("fp", "n", "d", "open", "at", "c")]) for side in "xy")
-    most = F.col("nx") + F.col("ny") - 2 * _common(F.col("nx"), F.col("ny"), percent)
-    share = F.ceil((F.col("dx") + F.col("dy") - most) / 2.0)
-    fits = (F.col("cx") != F.col("cy")) & (~F.col("openy") | (F.col("fpx") < F.col("fpy"))) & _sizes(F.col("nx"), F.col("ny"), percent)
-    fits = fits & (F.col("atx") <= F.col("dx") - share) & (F.col("aty") <= F.col("dy") - share)
-    return x.where("openx").join(y, ["pivot", "token"]).where(fits).select(F.col("fpx").alias("a"), F.col("fpy").alias("b")).distinct()
+    common = F.size(F.array_intersect("sa", "sb"))
+    return likely.join(a, "a").join(b, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,58 +164,52 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     has no other. Every pair that a shared prefix shingle suggests is either verified or already connected:
     1. In the postings of a shingle, sorted by size, groups next to each other tell whether any sizes there fit. Groups that
        have such a neighbour vote, in each posting, for the group of least key in their size class (which votes for that of the
-       class before). The group with most votes is the pivot; each set is compared with the pivot's first set, and with
-       its own group's first: two pairs a set at most, however large a group of copies.
-    2. Sets of one pivot that still lie in different components are compared if their differences from the pivot share
-       enough (near_pivots); sets of different pivots if they share as many prefix shingles as links need at least.
+       class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
+       at most, however large a group of copies.
+    2. Pairs of sets that still lie in different components are compared in full if they share a shingle so early in both
+       prefixes that enough of both can follow it.
     The sketch puts shingles that many documents hold behind the others, so they are in a prefix only if little else is."""
     levels = frequency_levels(docs, width, text_col)
     facts = saved(signatures(docs, levels, width, percent, id_col, text_col))
     filled = facts.where("n > 0")
     # A group goes by a 64-bit key; should two groups have one key, both are looked at.
-    sets = saved(filled.groupBy("fp").agg(F.first(F.xxhash64("gid")).alias("key"), F.first("n").alias("n"), F.min("text_md5").alias("text_md5")))
-    members = sets.select("key", "fp")
+    members = saved(filled.select(F.xxhash64("gid").alias("key"), "fp").distinct())
     groups = filled.groupBy("gid").agg((F.min("fp") != F.max("fp")).alias("many"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     heads = saved(members.groupBy("key").agg(F.min("fp").alias("first")))
     fits = lambda other: F.coalesce(_sizes(F.col("n"), other, percent), F.lit(False))
     # One shuffle, by shingle, serves all windows.
-    postings = groups.select(F.xxhash64("gid").alias("key"), "many", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
+    postings = groups.select(F.xxhash64("gid").alias("key"), "many", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).repartition("token")
     postings = postings.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     run = W.partitionBy("token").orderBy("class", "n", "key")
     postings = postings.withColumn("leader", F.min("key").over(W.partitionBy("token", "class"))).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
-    postings = saved(postings.where("beside").select("token", "n", "key", "leader", "before"))
+    postings = saved(postings.where("beside").select("token", "n", "at", "key", "leader", "before"))
     stars = postings.where("key != leader").select("leader", "key").union(postings.where("before != leader").select("before", "leader"))
     votes = stars.groupBy("key", "leader").count()
-    best = saved(votes.groupBy("key").agg(F.max_by("leader", F.struct("count", "leader")).alias("pivot")))
-    one = heads.select(F.col("key").alias("pivot"), F.col("first").alias("a"))
-    star = members.join(small(best), "key", "left").select("key", "fp", F.coalesce("pivot", "key").alias("pivot"))
-    star = star.join(one, "pivot").select("a", F.col("fp").alias("b"))
+    best = votes.groupBy("key").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    one = heads.select(F.col("key").alias("leader"), F.col("first").alias("a"))
+    pairs = best.join(one, "leader").join(members, "key").select("a", F.col("fp").alias("b"))
     inside = heads.join(members, "key").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    pairs = saved(star.withColumn("star", F.lit(True)).union(inside.withColumn("star", F.lit(False))).where("a != b").groupBy("a", "b").agg(F.max("star").alias("star")))
-    first = (F.col("nb") * (100 - percent) / percent).cast("int") + 1  # no more of a difference matters
-    deltas = compared(pairs, sets, docs, width, percent, text_col).withColumns({"d": F.size("new") + F.size("gone"), "tokens": F.slice(F.concat("new", "gone"), F.lit(1), first)})
-    deltas = saved(deltas.drop("new", "gone"))
-    edges = deltas.where("linked").select("a", "b")
+    ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(ordered(pairs.union(inside)))
+    edges = saved(verified(pairs, filled, docs, width, percent, text_col))
     found = components(edges)
 
-    # What is not yet connected: sets of one pivot, then postings of several pivots whose sets lie in different components.
-    placed = members.join(small(best), "key", "left").select("key", "fp", F.coalesce("pivot", "key").alias("pivot"))
-    placed = saved(placed.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", "pivot", F.xxhash64(F.coalesce("c", "fp")).alias("c")))
-    parts = saved(placed.select("key", "pivot", "c").distinct())
+    # What is not yet connected: postings whose sets lie in different components.
+    placed = saved(members.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.xxhash64(F.coalesce("c", "fp")).alias("c")))
+    parts = saved(placed.select("key", "c").distinct())
     each = W.partitionBy("token")
-    left = postings.select("token", "n", "key").join(small(parts), "key").withColumns({f"{end}_{k}": f(k).over(each) for k in ("c", "pivot") for end, f in (("low", F.min), ("high", F.max))})
-    left = saved(left.where("low_c != high_c and low_pivot != high_pivot").select("token", "n", "key", "pivot", "c"))
-    l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "key", "pivot", "c")]) for side in "lr")
-    more = l.join(r, "token").where("cl < cr and pivotl != pivotr").where(_sizes(F.col("nl"), F.col("nr"), percent)).groupBy("keyl", "cl", "nl", "keyr", "cr", "nr").count()
-    # Every common prefix shingle has been counted; common shingles beyond the prefixes lie behind one of them.
-    behind = F.ceil(F.lit(percent) * F.greatest("nl", "nr") / 100.0 - 1e-9) - 1
-    more = more.where(F.col("count") + behind >= _common(F.col("nl"), F.col("nr"), percent)).select("keyl", "cl", "keyr", "cr").distinct()
+    left = postings.select("token", "n", "at", "key").join(small(parts), "key").withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)})
+    left = saved(left.where("low != high").select("token", "n", "at", "key", "c"))
+    l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "at", "key", "c")]) for side in "lr")
+    # The first shingle that two linking sets share has enough of either set from its place on; all that follows is behind it.
+    need = _common(F.col("nl"), F.col("nr"), percent)
+    early = (F.col("nl") - F.col("atl") >= need) & (F.col("nr") - F.col("atr") >= need)
+    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).where(early).select("keyl", "cl", "keyr", "cr").distinct()
     for x, side in zip("ab", "lr"):
         more = more.join(placed.select(F.col("key").alias("key" + side), F.col("c").alias("c" + side), F.col("fp").alias(x)), ["key" + side, "c" + side])
-    more = more.select("a", "b").union(near_pivots(deltas.where("star"), placed, percent))
-    more = saved(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = saved(ordered(more).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        extra = saved(compared(more, sets, docs, width, percent, text_col).where("linked").select("a", "b"))
+        extra = saved(verified(more, filled, docs, width, percent, text_col))
         if not extra.isEmpty():
             found = components(edges.union(extra))
 
