@@ -135,7 +135,8 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, pe
             yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], ["fp", "shingles"])
 
     texts = docs.select(F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text")).join(small(wanted), "text_md5").select("fp", "text")
-    whole = saved(texts.mapInArrow(make, "fp binary, shingles array<long>").dropDuplicates(["fp"]))
+    # Not saved: both joins read one exchange by fp.
+    whole = texts.mapInArrow(make, "fp binary, shingles array<long>").dropDuplicates(["fp"])
     a, b = (whole.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     return likely.join(a, "a").join(b, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
@@ -192,10 +193,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = saved(ordered(pairs.union(inside)))
     edges = saved(verified(pairs, filled, docs, width, percent, text_col))
-    found = components(edges)
+    found = saved(members.select("fp").distinct().join(components(edges).withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("c", "fp").alias("c")))
 
     # What is not yet connected: postings whose sets lie in different components.
-    placed = saved(members.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.xxhash64(F.coalesce("c", "fp")).alias("c")))
+    placed = saved(members.join(found, "fp").select("key", "fp", F.xxhash64("c").alias("c")))
     parts = saved(placed.select("key", "c").distinct())
     each = W.partitionBy("token")
     left = postings.select("token", "n", "at", "key").join(small(parts), "key").withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)})
@@ -211,9 +212,13 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     if not more.isEmpty():
         extra = saved(verified(more, filled, docs, width, percent, text_col))
         if not extra.isEmpty():
-            found = components(edges.union(extra))
+            # However many pairs link two components, one edge joins them.
+            for x in "ab":
+                extra = extra.join(found.select(F.col("fp").alias(x), F.col("c").alias("c" + x)), x)
+            wider = components(saved(extra.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
+            found = saved(found.join(wider.select(F.col("v").alias("c"), F.col("c").alias("wider")), "c", "left").select("fp", F.coalesce("wider", "c").alias("c")))
 
-    ids = facts.groupBy("fp").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "low", F.coalesce("c", "fp").alias("c"))
+    ids = facts.groupBy("fp").agg(F.min("doc_id").alias("low")).join(found, "fp").select("fp", "low", "c")
     ids = saved(ids.where("fp is not null"))
     lows = ids.groupBy("c").agg(F.min("low").alias("component_id"))
     named = saved(ids.join(lows, "c").select("fp", "component_id"))
