@@ -79,29 +79,30 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_md5, n, fp, gid, prefix): the number of shingles, digests of the set and of prefix and size, and the
-    prefix: shingles by level and hash, so many that two sets similar enough share one of them."""
+    """(doc_id, text_md5, n, fp, gid, usual, prefix): the number of shingles, digests of the set and of prefix and size, the sum
+    of the prefix's levels, and the prefix: shingles by level and hash, so many that two sets similar enough share one."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in batches:
-            n, fp, gid, prefixes = [], [], [], []
+            n, fp, gid, usual, prefixes = [], [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width):
                 level = shared.value[s >> np.uint64(64 - SKETCH_BITS)]
                 ordered = s[np.argsort(level, kind="stable")] if level.any() else s
                 p = ordered[: len(s) - _needed(len(s), percent) + 1] if len(s) else s
+                usual.append(int(np.sort(level)[: len(p)].sum()))
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 gid.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest() if len(s) else None)
                 prefixes.append(p.view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "prefix"])
+            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), pa.array(usual, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "usual", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, usual int, prefix array<long>")
 
 
 def _sizes(a, b, percent: int):
@@ -164,8 +165,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     words, and null texts, have no shingle and are components of their own; null ids count for nothing unless a component
     has no other. Every pair that a shared prefix shingle suggests is either verified or already connected:
     1. In the postings of a shingle, sorted by size, groups next to each other tell whether any sizes there fit. Groups that
-       have such a neighbour vote, in each posting, for the group of least key in their size class (which votes for that of the
-       class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
+       have such a neighbour vote, in each posting, for the one of their size class whose prefix has the most usual shingles, as a
+       text without edits has (which votes for that of the class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
        at most, however large a group of copies.
     2. Pairs of sets that still lie in different components are compared in full if they share a shingle so early in both
        prefixes that enough of both can follow it.
@@ -175,14 +176,14 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     filled = facts.where("n > 0")
     # A group goes by a 64-bit key; should two groups have one key, both are looked at.
     members = saved(filled.select(F.xxhash64("gid").alias("key"), "fp").distinct())
-    groups = filled.groupBy("gid").agg((F.min("fp") != F.max("fp")).alias("many"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = filled.groupBy("gid").agg((F.min("fp") != F.max("fp")).alias("many"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix"))
     heads = saved(members.groupBy("key").agg(F.min("fp").alias("first")))
     fits = lambda other: F.coalesce(_sizes(F.col("n"), other, percent), F.lit(False))
     # One shuffle, by shingle, serves all windows.
-    postings = groups.select(F.xxhash64("gid").alias("key"), "many", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).repartition("token")
+    postings = groups.select(F.xxhash64("gid").alias("key"), "many", "usual", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).repartition("token")
     postings = postings.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     run = W.partitionBy("token").orderBy("class", "n", "key")
-    postings = postings.withColumn("leader", F.min("key").over(W.partitionBy("token", "class"))).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
+    postings = postings.withColumn("leader", F.min(F.struct(-F.col("usual"), "key")).over(W.partitionBy("token", "class"))["key"]).withColumns({"before": F.lag("leader").over(run), "beside": fits(F.lag("n").over(run)) | fits(F.lead("n").over(run)) | F.col("many")})
     postings = saved(postings.where("beside").select("token", "n", "at", "key", "leader", "before"))
     stars = postings.where("key != leader").select("leader", "key").union(postings.where("before != leader").select("before", "leader"))
     votes = stars.groupBy("key", "leader").count()
