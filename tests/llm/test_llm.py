@@ -210,6 +210,19 @@ def test_ngram_join(docs, spark):
     assert kept == sorted({c for _, _, c in want})
 
 
+def test_ngram_join_family(spark):
+    """Members of a family with few to many edits, of which some link with few others only."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(220):
+        body = list(base)
+        for _ in range(k % 8):
+            body[rng.randrange(150) if k % 3 else rng.randrange(20)] = f"e{rng.randrange(60)}"
+        rows.append((k, " ".join(body[: 150 - k % 5]), "en", "a"))
+    same(ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA)).drop("text_md5").collect(), components(rows, 4, 85))
+
+
 def test_sharding(docs, spark):
     for df in (docs, spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"t{k // 2}") for k in range(3000)], "doc_id long, text string")):
         rows = sharding.shard_documents(df).collect()
