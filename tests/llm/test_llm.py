@@ -300,4 +300,6 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)
-    assert {r.doc_id for r in out} <= {r[0] for r in ROWS} - {1, 2, 6, 7, 11}
+    # 1 equals 2, and 4 is near 2; 3 equals neither (its capitals are not only A to Z). 8 equals 9; the others have no letter.
+    ids = {r.doc_id for r in out}
+    assert ids <= {r[0] for r in ROWS} - {1, 4, 5, 6, 7, 8, 11} and {2, 3} <= ids
