@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def _needed(n: int, percent: int) -> int:
 def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     """For each counter of the sketch 0, or more for shingles that far more documents hold than a usual counter shows.
 
-    A task counts its documents' shingles in 2^22 counters and gives them away in 64 parts; parts are summed some hundred at
+    A task counts its documents' shingles in 2^22 counters and gives them away in 64 parts, deflated; parts are summed some hundred at
     a time. The levels decide how fast the join is, not what it finds."""
     size = 1 << SKETCH_BITS
 
@@ -58,12 +59,12 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
             for hashes in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width):
                 np.add.at(counts, hashes >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
 
     def add(kind):
         def run(key, rows):
-            total = sum(np.frombuffer(x, kind).astype(np.uint64) for x in rows.column("counts").to_pylist())
-            return pa.table({"part": [key[0].as_py()], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            total = sum(np.frombuffer(zlib.decompress(x), kind).astype(np.uint64) for x in rows.column("counts").to_pylist())
+            return pa.table({"part": [key[0].as_py()], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
         return run
 
@@ -72,8 +73,8 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     few = rows.groupBy("part", F.expr("spark_partition_id() div 100").alias("hundred")).applyInArrow(lambda k, t: add(np.uint16)(k, t).cast(schema), "part int, counts binary")
     whole = few.groupBy("part").applyInArrow(lambda k, t: add(np.uint32)(k, t).cast(schema), "part int, counts binary")
     counts = np.zeros((_PARTS, size // _PARTS), np.float64)
-    for part, x in whole.collect():  # 16 MB, whatever the corpus
-        counts[part] = np.frombuffer(x, np.uint32)
+    for part, x in whole.collect():  # 16 MB before deflation, whatever the corpus
+        counts[part] = np.frombuffer(zlib.decompress(x), np.uint32)
     usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 1
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts.ravel(), 1) / usual))).astype(np.uint8)
 
