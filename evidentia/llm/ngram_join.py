@@ -159,12 +159,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", F.col("m").alias("c"))
 
 
-def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, text_md5.
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `signatures`, and (fp, c) for each set that occurs: the least fp of its component, whatever the ids are.
 
-    Equal sets are one from the start, and sets of equal prefix and size are one group for candidate search. Documents without
-    words, and null texts, have no shingle and are components of their own; null ids count for nothing unless a component
-    has no other. Every pair that a shared prefix shingle suggests is either verified or already connected:
+    Equal sets are one from the start, and sets of equal prefix and size are one group for candidate search. Every
+    pair that a shared prefix shingle suggests is either verified or already connected:
     1. In the postings of a shingle, sorted by size, groups next to each other tell whether any sizes there fit. Groups that
        have such a neighbour vote, in each posting, for the one of their size class whose prefix has the most usual shingles, as a
        text without edits has (which votes for that of the class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
@@ -219,7 +218,15 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
                 extra = extra.join(found.select(F.col("fp").alias(x), F.col("c").alias("c" + x)), x)
             wider = components(saved(extra.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
             found = saved(found.join(wider.select(F.col("v").alias("c"), F.col("c").alias("wider")), "c", "left").select("fp", F.coalesce("wider", "c").alias("c")))
+    return facts, found
+
+
+def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, text_md5.
 
+    Documents without words, and null texts, have no shingle and are components of their own; null ids count for nothing unless
+    a component has no other. component_id is the least id, which components may share where ids are null or repeated."""
+    facts, found = _linked(docs, width, percent, id_col, text_col)
     ids = facts.groupBy("fp").agg(F.min("doc_id").alias("low")).join(found, "fp").select("fp", "low", "c")
     ids = saved(ids.where("fp is not null"))
     lows = ids.groupBy("c").agg(F.min("low").alias("component_id"))
@@ -231,13 +238,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component, that of the least id; documents without shingles stay. If no id of a
-    component is known, or two of its rows share the least one, the row whose text has the least digest stays."""
-    rows = saved(ngram_components(docs, width, percent, id_col, text_col).where("n_shingles > 0"))
-    many = rows.groupBy("component_id").count().where("count > 1 or component_id is null").select(F.col("component_id").alias("_c"))
-    rows = rows.join(many, F.col("component_id").eqNullSafe(F.col("_c")), "left_semi")
-    heads = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("doc_id").agg(F.min("text_md5").alias("head_md5"), F.count("*").alias("heads"))
-    rows = rows.join(heads.withColumnRenamed("doc_id", "_head"), F.col("component_id").eqNullSafe(F.col("_head")), "left")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_md5") == F.col("head_md5"))
+    component is known, or two of its rows share the least one, the row whose text has the least digest stays. Components
+    are told apart by their sets, not by ids."""
+    facts, found = _linked(docs, width, percent, id_col, text_col)
+    rows = saved(facts.where("n > 0").join(small(found), "fp").select("doc_id", "text_md5", "c"))
+    heads = rows.groupBy("c").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_md5")).alias("head")).where("rows > 1")
+    rows = rows.join(heads, "c")
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_md5") == F.col("head.text_md5"))
     by_row = rows.withColumn("stays", stays.cast("int")).groupBy(F.col("doc_id").alias("id"), "text_md5").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     return keep_only(docs, by_row.where("n > 1 or stays = 0"), id_col, text_col)

@@ -210,6 +210,14 @@ def test_ngram_join(docs, spark):
     assert kept == sorted({c for _, _, c in want})
 
 
+def test_one_of_each_without_own_ids(spark):
+    """Components that share their least id, or have none, each keep a document."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (8, c), (None, d), (9, a + " z"), (None, "")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(kept, [(None, b), (7, c), (7, d), (9, a + " z"), (None, "")])
+
+
 def test_ngram_join_family(spark):
     """Members of a family with few to many edits, of which some link with few others only."""
     rng = random.Random(5)
