@@ -38,10 +38,18 @@ TEMPLATES = (
 THRESHOLD = 0.8
 
 
+#: Templates of at most so many distinct tokens must be in a window whole: without one they are another notice.
+SHORT = 5
+
+
+def all_tokens(text: str) -> list[str]:
+    lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+    return re.findall(TOKEN, lowered)
+
+
 def tokens_of(text: str) -> list[str]:
     """The distinct tokens of a template."""
-    lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
-    return list(dict.fromkeys(re.findall(TOKEN, lowered)))
+    return list(dict.fromkeys(all_tokens(text)))
 
 
 #: ASCII characters that end a token.
@@ -92,11 +100,32 @@ def matches(lines: Column, plans: list[tuple[str, list[str], int]]) -> Column:
     return F.flatten(F.transform(tokens, of_line))
 
 
+def across(words: Column, windows: list[tuple[str, list[str], int, int]]) -> Column:
+    """[(label, containment)] of each template that some window of its length contains, over line ends too.
+
+    windows: (label, distinct tokens, how many are needed, tokens with repeats). A window may as well start at a token of the template:
+    if it does not, the one from its first such token on holds the same. Texts without enough of a template's tokens go first."""
+
+    def of_one(w: Column, known: Column, label: str, own: list[str], need: int, length: int) -> Column:
+        whole = F.array(*map(F.lit, own))
+        starts = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(whole, x), i + 1)), lambda i: i.isNotNull())
+        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(w, i, length), whole))))
+        most = F.when(F.size(F.array_intersect(known, whole)) >= need, most)
+        return let(most, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / len(own)).alias("share"))))
+
+    def of_text(w: Column, known: Column) -> Column:
+        return F.filter(F.array(*[of_one(w, known, *x) for x in windows]), lambda x: x.isNotNull())
+
+    vocabulary = F.array(*map(F.lit, sorted({w for _, own, _, _ in windows for w in own})))
+    return let(words, lambda w: let(F.array_intersect(w, vocabulary), lambda known: of_text(w, known)))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: the places where a phrase's words stand one after another, over line ends too. Blocks are lines; a block holds a
-    template if `threshold` of the template's distinct tokens are in it. Score: 1 with a base phrase, else the largest such
+    Base: the places where a phrase's words stand one after another, over line ends too. Blocks are lines, and windows of a
+    template's length that start at any token, for notices wrapped over lines; a block holds a template if `threshold` of the
+    template's distinct tokens are in it, in a window all of them where they are five or fewer. Score: 1 with a base phrase, else the largest such
     share that was found, else 0. Two scans: document frequencies of the templates' tokens, which order them (the order
     decides how fast the filters are, never what they find), and the join, with the templates as literals; no rows move.
     A null text counts as empty. Rows are judged each for itself. Other columns are ignored."""
@@ -105,13 +134,14 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     sets = [(label, tokens_of(text)) for label, text in templates]
     order = {w: i for i, w in enumerate(token_order(F.col("t"), t, sorted({w for _, own in sets for w in own})))}
     plans = [(label, sorted(own, key=order.get), math.ceil(threshold * len(own) - 1e-9)) for label, own in sets]
+    windows = [(label, own, len(own) if len(own) <= SHORT else need, len(all_tokens(text))) for (label, own, need), (_, text) in zip(plans, templates)]
     gate = sorted({w for _, own, need in plans for w in own[: len(own) - need + 1]})
     holds = lambda needles: reduce(or_, [F.col("t").contains(w) for w in needles])  # noqa: E731  a plain search, before any text is split
     tokens = split_tokens(F.col("t"))
     spots = let(tokens, lambda words: F.array(*[F.struct(F.lit(label).alias("label"), _starts(words, p).alias("at")) for label, p in PHRASES.items()]))
     t = t.withColumn("spots", F.when(holds(sorted({p.split(" ")[-1] for p in PHRASES.values()})), F.filter(spots, lambda x: F.size(x["at"]) > 0)).otherwise(F.array().cast("array<struct<label:string,at:array<int>>>")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 0)
-    t = t.withColumn("found", F.when(holds(gate), matches(lines, plans)).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    t = t.withColumn("found", F.when(holds(gate), F.concat(matches(lines, plans), across(tokens, windows))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
     t = t.withColumns({"base": F.array_sort(F.transform("spots", lambda x: x["label"])), "places": F.flatten(F.transform("spots", lambda x: x["at"]))})
     labels = F.array_sort(F.array_union("base", F.transform("found", lambda x: x["label"])))
     best = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)))

@@ -258,6 +258,21 @@ def test_licenses(docs):
     same(licenses.license_scan(docs).collect(), want)
 
 
+def test_licenses_wrapped(spark):
+    """Notices wrapped over lines, with marks of comments; and texts that only have their words, or too few of them."""
+    body = {label: text for label, text in licenses.TEMPLATES if len(licenses.tokens_of(text)) > 9}
+    wrap = lambda text, n, mark: "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows, want = [], []
+    for k, (label, text) in enumerate(body.items()):
+        for n in (2, 5):
+            rows.append((len(rows), "Copyright (c) 2020 someone\n" + wrap(text.upper() if k % 2 else text, n, " * ") + "\nand more follows"))
+            want.append(label)
+    rows += [(100, "GNU Lesser\nGeneral Public\nLicense"), (101, "GNU\nGeneral Public\nLicense"), (102, "\nfiller words that are none of its own\n".join(body["bsd"].split()))]
+    labels = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in labels[k] for k, label in enumerate(want))
+    assert labels[100] == {"gpl", "lgpl"} and labels[101] == {"gpl"} and "bsd" not in labels[102]
+
+
 def test_mixing(docs, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
     rows = mixing.mix_sources(docs, labels).collect()
