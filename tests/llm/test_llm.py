@@ -246,6 +246,16 @@ def test_sharding(docs, spark):
     assert sum(len(p) == 1 for p in pairs.values()) > 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_sharding_full_of_copies(spark, size):
+    """Where every row is linked, nearly all groups still end in one shard."""
+    rows = sharding.shard_documents(spark.createDataFrame([(k, f"t{k // size}") for k in range(8000)], "doc_id long, text string")).collect()
+    held, where = Counter(r.shard for r in rows), defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    assert set(held.values()) == {1000} and sum(len(x) > 1 for x in where.values()) < 0.1 * len(where)
+
+
 def test_licenses(docs):
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = []
