@@ -467,6 +467,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 
+@query(ORACLE["near_duplicates"].replace("a.doc_id % 2 = 0 AND b.doc_id % 2 = 1", "a.doc_id < b.doc_id"))
+def near_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the table, l < r; `near_duplicates` is bound by its SQL to those of an even and an odd id."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l"), "text")
+    found = vectors.near_duplicates(docs, None, T.char_wb_ngrams(F.col("text"), 3, 3))
+    return found.select("l", "r", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT label, i - 1 AS at, avg(x::DOUBLE) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL")
 def pooled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.mean_pool(table(spark, sf_dir, "embeddings"), "label")

@@ -5,6 +5,7 @@ from evidentia.errors import DataValidationError, SubmissionError
 from evidentia.functions import text as X
 from evidentia.functions import tokens as T
 from evidentia.operators import audits, features, metrics, relations
+from evidentia.plans import catalog
 from evidentia.sources import sinks, tables
 
 
@@ -83,3 +84,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "a.json").write_bytes((tmp_path / "a.json").read_bytes())
     assert tables.preferred(tables.files(spark, str(tmp_path)), ["a.json"]).endswith("/a.json")
+
+
+def test_near_duplicates_of_one_parity(spark, tmp_path):
+    """Pairs whose ids are both even or both odd are found too."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in ("north", "river"))
+    spark.createDataFrame([(2, a), (4, a), (5, b), (7, b), (8, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["near_duplicates_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(2, 4, 1.0), (5, 7, 1.0)]
