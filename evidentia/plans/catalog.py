@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from evidentia.functions import text as X
 from evidentia.functions import tokens as T
 from evidentia.operators import audits, features, folds, metrics, models, relations, vectors
-from evidentia.plans.inputs import FIXTURE_SQL, QA, fixture, qa, table
+from evidentia.plans.inputs import FIXTURE_SQL, QA, WHOLE_SQL, fixture, qa, table, whole
 from evidentia.sources import sinks, tables
 
 QUERIES = {}
@@ -62,10 +62,19 @@ P = QA + f", p AS (SELECT row_idx, label, p_e1 AS p, NOT {absent_('context', 'v7
 # --- text -----------------------------------------------------------------------------------------------------------------
 
 
+def _context_predicates(rows: DataFrame) -> DataFrame:
+    rules = [*X.ABSENT, "starter"]
+    return rows.select("row_idx", *[X.is_absent(F.col("context"), r).alias(r) for r in rules])
+
+
 @query(f"WITH {FIXTURE_SQL} SELECT row_idx, {', '.join(f'{absent_('context', r)} AS {r}' for r in X.ABSENT)}, (context IS NULL OR {strip_('context')} IN {list_(X.STARTER_ABSENT)}) AS starter FROM fx")
 def context_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [*X.ABSENT, "starter"]
-    return fixture(spark).select("row_idx", *[X.is_absent(F.col("context"), r).alias(r) for r in rules])
+    return _context_predicates(fixture(spark))
+
+
+@query(ORACLE["context_predicates"].replace(FIXTURE_SQL, WHOLE_SQL))
+def context_predicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _context_predicates(whole(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, sha256({norm_('text')}) AS normalized, length({norm_('text')}) AS n FROM documents")
@@ -79,10 +88,19 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.add_fingerprints(qa(spark, sf_dir)).select("row_idx", "text_fp", "labeled_fp")
 
 
+def _normalized_v5(rows: DataFrame) -> DataFrame:
+    c, r = X.normalize_v5(F.col("context")), X.normalize_v5(F.col("response"))
+    return rows.select("row_idx", c.alias("context_v5"), r.alias("response_v5"), X.strip_punctuation(c).alias("bare"), X.compact(c).alias("compact"), X.normalize_numbers(F.col("response")).alias("numbers"))
+
+
 @query(f"WITH {FIXTURE_SQL} SELECT row_idx, {v5_('context')} AS context_v5, {v5_('response')} AS response_v5, {punct_(v5_('context'))} AS bare, {compact_(v5_('context'))} AS compact, {nums_('response')} AS numbers FROM fx")
 def normalized_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, r = X.normalize_v5(F.col("context")), X.normalize_v5(F.col("response"))
-    return fixture(spark).select("row_idx", c.alias("context_v5"), r.alias("response_v5"), X.strip_punctuation(c).alias("bare"), X.compact(c).alias("compact"), X.normalize_numbers(F.col("response")).alias("numbers"))
+    return _normalized_v5(fixture(spark))
+
+
+@query(ORACLE["normalized_v5"].replace(FIXTURE_SQL, WHOLE_SQL))
+def normalized_v5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized_v5(whole(spark, sf_dir))
 
 
 @query(f"""WITH {QA}, c AS (SELECT *, {clean_('context', 'v4')} AS c FROM qa) SELECT row_idx,
@@ -107,18 +125,36 @@ def truncation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 384).alias("truncated"), F.avg("n").alias("mean_original"), F.avg(F.least("n", F.lit(384))).alias("mean_kept"))
 
 
+def _repaired_text(rows: DataFrame) -> DataFrame:
+    return rows.select("row_idx", X.remove_terminal_escapes(F.col("response")).alias("plain"), X.fix_line_breaks(F.col("context")).alias("lines"))
+
+
 @query(rf"WITH {FIXTURE_SQL} SELECT row_idx, regexp_replace(response, '\x{{1B}}\[((?:\d|;)*)([a-zA-Z])', '', 'g') AS plain, regexp_replace(context, '\r\n?|[\x{{2028}}\x{{2029}}\x{{85}}]', chr(10), 'g') AS lines FROM fx")
 def repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark).select("row_idx", X.remove_terminal_escapes(F.col("response")).alias("plain"), X.fix_line_breaks(F.col("context")).alias("lines"))
+    return _repaired_text(fixture(spark))
+
+
+@query(ORACLE["repaired_text"].replace(FIXTURE_SQL, WHOLE_SQL))
+def repaired_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired_text(whole(spark, sf_dir))
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------------
 
 
+def _tokenised(rows: DataFrame) -> DataFrame:
+    c, r = F.coalesce("context", F.lit("")), F.col("response")
+    return rows.select("row_idx", F.array_join(F.array_sort(T.token_set(c)), "|").alias("token_set"), F.array_join(F.array_sort(T.number_set(r)), "|").alias("numbers"), F.array_join(T.tokens(c), "|").alias("tokens"), F.array_join(T.numerals(T.tokens(c)), "|").alias("numerals"))
+
+
 @query(f"WITH {FIXTURE_SQL}, c AS (SELECT row_idx, coalesce(context, '') AS c, response AS r FROM fx) SELECT row_idx, array_to_string(list_sort({set_('c')}), '|') AS token_set, array_to_string(list_sort({numset_('r')}), '|') AS numbers, array_to_string({toks_('c')}, '|') AS tokens, array_to_string({numerals_(toks_('c'))}, '|') AS numerals FROM c")
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, r = F.coalesce("context", F.lit("")), F.col("response")
-    return fixture(spark).select("row_idx", F.array_join(F.array_sort(T.token_set(c)), "|").alias("token_set"), F.array_join(F.array_sort(T.number_set(r)), "|").alias("numbers"), F.array_join(T.tokens(c), "|").alias("tokens"), F.array_join(T.numerals(T.tokens(c)), "|").alias("numerals"))
+    return _tokenised(fixture(spark))
+
+
+@query(ORACLE["tokenised"].replace(FIXTURE_SQL, WHOLE_SQL))
+def tokenised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokenised(whole(spark, sf_dir))
 
 
 @query(f"WITH {QA}, g AS (SELECT row_idx, {grams_(compact_('response'), 3)} AS g FROM qa) SELECT row_idx, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS grams FROM g")

@@ -59,3 +59,11 @@ def sql_string(s: str | None) -> str:
 
 
 FIXTURE_SQL = "fx(row_idx, context, response) AS (VALUES " + ", ".join(f"({i}::BIGINT, {sql_string(c)}, {sql_string(r)})" for i, c, r in FIXTURE) + ")"
+
+#: All labeled rows and the fixture's, under ids below zero, in place of the fixture.
+WHOLE_SQL = QA + ", " + FIXTURE_SQL.replace("fx(", "few(", 1) + ", fx AS (SELECT row_idx, context, response FROM qa UNION ALL SELECT -1 - row_idx, context, response FROM few)"
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = fixture(spark).withColumn("row_idx", -1 - F.col("row_idx"))
+    return qa(spark, sf_dir).select("row_idx", "context", "response").unionByName(few)
