@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: The largest number of rows of a few short columns that is broadcast (about 50 MB).
 BROADCAST_ROWS = 500_000
+#: The largest estimated size of rows with arrays that is broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +64,19 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def light(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """`df` with a broadcast hint if its rows, by `row_bytes`, come to `BROADCAST_BYTES` at most. Give a saved `df`."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: the worker stays for later tasks, maybe of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keep_only(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `decisions` leaves.
 

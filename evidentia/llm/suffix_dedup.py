@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import _numeric
-from evidentia.llm._common import saved, small
+from evidentia.llm._common import light, release, saved, small
 
 LENGTH = 200
 #: Bytes of the gram whose hash anchors a window.
 GRAM = 32
-#: Bits of the filter of grams that occur twice; a full filter costs time, not results.
+#: Bits of the filter of sides that occur twice; a full filter costs time, not results.
 FILTER_BITS = 26
 _PARTS = 64
-#: Bytes of stretches that one suffix array holds, and stretches of one anchor beyond which they are dealt to several.
+#: Bytes of stretches that one suffix array holds, and different stretches of one anchor beyond which they are dealt to several.
 SHARD_BYTES, HOT = 6_000_000, 20_000
 
 
@@ -46,23 +47,33 @@ def _sliding_min_last(x: np.ndarray, w: int) -> np.ndarray:
     return np.where(low_r[i] < low[j], at_r[i], at[j])
 
 
-def stretches(text: bytes, roller: _numeric.Roller, length: int):
-    """(anchor's hash, start, windows) of a text's stretches, in order.
+def stretches(text: bytes, roller: _numeric.Roller, length: int, block: int = _numeric.BLOCK):
+    """(anchor's hash, start, windows, hash to the left, hash to the right) of a text's stretches, in order.
 
     A window of `length` bytes is anchored by the gram in it with the least hash, the last of equals: equal windows have equal
-    anchors at equal places. A stretch is the run of windows with one anchor; each window is in one stretch."""
-    out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, max(0, len(text) - length + 1), _numeric.BLOCK):
-        data = np.frombuffer(text[at : at + _numeric.BLOCK + length - 1], np.uint8)
+    anchors at equal places. A stretch is the run of windows with one anchor; each window is in one stretch (in two, where a
+    block ends). Of the bytes that a window has besides its anchor, half lie on one side at least. So of two equal windows the
+    anchors have either this many equal bytes before them or as many after them: the hashes of anchor and side, 0 where the text
+    ends before."""
+    out = tuple([np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.int64, np.uint64, np.uint64))
+    gram = min(GRAM, length)
+    side = (length - gram + 1) // 2
+    for at in range(0, max(0, len(text) - length + 1), block):
+        base = max(0, at - side)
+        data = np.frombuffer(text[base : at + block + length - 1 + side], np.uint8)
         sums = roller.sums(data)
-        gram = min(GRAM, length)
-        places = np.arange(len(data) - gram + 1)
+        places = np.arange(at - base, min(at + block + length - 1, len(text)) - gram - base + 1)
         hashes = roller.hashes(sums, places, places + gram)
         anchors = _sliding_min_last(hashes, length - gram + 1)
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        out[0].append(hashes[anchors[first]])
-        out[1].append(first + at)
-        out[2].append(np.diff(np.append(first, len(anchors))))
+        place = places[anchors[first]]
+        before, after = place >= side, place + gram + side <= len(data)
+        left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+        left[before] = roller.hashes(sums, place[before] - side, place[before] + gram)
+        # Told from those to the left: a stretch's right side may be the left side of another one.
+        right[after] = _numeric.mix(roller.hashes(sums, place[after], place[after] + gram + side))
+        for column, values in zip(out, (hashes[anchors[first]], first + at, np.diff(np.append(first, len(anchors))), left, right)):
+            column.append(values)
     return tuple(map(np.concatenate, out))
 
 
@@ -209,50 +220,52 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _anchors(docs: DataFrame, length: int, text_col: str) -> DataFrame:
-    """(gram, n): the anchors' hashes and how many stretches of a task have them."""
+def _sides(docs: DataFrame, length: int, text_col: str) -> DataFrame:
+    """(side, n): the hashes of anchors with one side, and how many stretches have them."""
 
     def run(batches):
         roller = _numeric.Roller()
         for batch in batches:
             copies = Counter(batch.column(0).to_pylist())  # equal texts of a batch are walked once
-            grams = [stretches((t or "").encode("utf-8", "surrogatepass"), roller, length)[0] for t in copies]
-            values, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
-            n = np.bincount(at, np.repeat(list(copies.values()), list(map(len, grams))), len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            sides = [np.concatenate(stretches((t or "").encode("utf-8", "surrogatepass"), roller, length)[3:]) for t in copies]
+            values, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sides]), return_inverse=True)
+            n = np.bincount(at, np.repeat(list(copies.values()), list(map(len, sides))), len(values))
+            known = values > 0
+            yield pa.RecordBatch.from_arrays([pa.array(values[known].view(np.int64)), pa.array(n[known].astype(np.int64))], ["side", "n"])
+        release()
 
-    return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "side long, n long").groupBy("side").agg(F.sum("n").alias("n"))
 
 
 def _filter(twice: DataFrame) -> np.ndarray:
-    """A bitmap (8 MB, whatever the corpus) of the grams' leading bits."""
+    """A bitmap (8 MB, whatever the corpus) of the sides' leading bits."""
     size = 1 << FILTER_BITS
     schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 
     def mark(batches):
         bits = np.zeros(size, bool)
         for batch in batches:
-            bits[batch.column("gram").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+            bits[batch.column("side").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
         packed = np.packbits(bits).reshape(_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in packed], pa.binary())], schema.names)
 
     def merge(key, table):
-        rows = table.column("bits").to_pylist()
+        rows = [zlib.decompress(x) for x in table.column("bits").to_pylist()]
         out = np.frombuffer(rows[0], np.uint8).copy()
         for x in rows[1:]:
             out |= np.frombuffer(x, np.uint8)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=schema)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], schema=schema)
 
-    rows = twice.select("gram").mapInArrow(mark, "part int, bits binary")
+    rows = twice.select("side").mapInArrow(mark, "part int, bits binary")
     few = rows.groupBy("part", F.expr("spark_partition_id() div 100").alias("hundred")).applyInArrow(merge, "part int, bits binary")
     bits = np.zeros((_PARTS, size // _PARTS // 8), np.uint8)
     for k, x in few.groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
-        bits[k] = np.frombuffer(x, np.uint8)
+        bits[k] = np.frombuffer(zlib.decompress(x), np.uint8)
     return bits.ravel()
 
 
 def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: bool) -> DataFrame:
-    """The stretches whose anchor may occur twice. contents: (gram, id, n, text), each once a task, n the times it stands
+    """The stretches of which a side may occur twice. contents: (gram, id, n, text), each once a batch, n the times it stands
     there; else (text_md5, start, id) of each, each text once a task. id: a digest of gram and text."""
 
     def run(batches):
@@ -265,10 +278,13 @@ def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: b
                     if md5 in told:
                         continue
                     told.add(md5)
-                text = (text or "").encode("utf-8", "surrogatepass")
-                grams, starts, windows = stretches(text, roller, length)
-                slot = grams >> shift
-                found = np.flatnonzero((bits.value[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1)
+                text = text.encode("utf-8", "surrogatepass")
+                grams, starts, windows, *sides = stretches(text, roller, length)
+                maybe = np.zeros(len(grams), bool)
+                for side in sides:
+                    slot = side >> shift
+                    maybe |= ((bits.value[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & (side > 0)
+                found = np.flatnonzero(maybe)
                 for g, s, n in zip(grams[found].tolist(), starts[found].tolist(), windows[found].tolist()):
                     part = text[s : s + n + length - 1]
                     i = hashlib.blake2b(part, digest_size=16, key=g.to_bytes(8, "big")).digest()
@@ -285,28 +301,35 @@ def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: b
                 kinds = [("gram", pa.int64()), ("id", pa.binary()), ("n", pa.int64()), ("text", pa.binary())]
             else:
                 columns = list(zip(*rows)) or [[]] * 3
-                kinds = [("text_md5", pa.string()), ("start", pa.int64()), ("id", pa.binary())]
+                kinds = [("text_md5", pa.binary()), ("start", pa.int64()), ("id", pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [k for k, _ in kinds])
+        release()
+
+    schema = "gram long, id binary, n long, text binary" if contents else "text_md5 binary, start long, id binary"
+    return docs.select(_digest(text_col).alias("text_md5"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, schema)
+
 
-    schema = "gram long, id binary, n long, text binary" if contents else "text_md5 string, start long, id binary"
-    return docs.select(F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, schema)
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_col))
 
 
 def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(text_md5, start, from, to) of runs of windows (from start + from up to start + to) that occur elsewhere too.
+    """(text_md5, start, runs): stretches of distinct texts that have windows which occur elsewhere too, and the runs (from, to)
+    of those windows, counted from start.
 
     Stretches with one anchor meet in one shard. Equal stretches collapse before they move and in the shard; one that stands
-    twice repeats all its windows. The rest is decided by the shard's suffix array. If an anchor has more than `hot`
-    stretches, they are dealt to several shards, and each two of those are merged by binary search in one task."""
-    counts = saved(_anchors(docs, length, text_col).where("n > 1"))
-    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(counts))
-    shards = int(total * (length * 3 // 2) // shard_bytes) + 1
-    rows = _stretch_rows(docs, bits, length, text_col, True).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    twice repeats all its windows. The rest is decided by the shard's suffix array. If an anchor has more than `hot` different
+    stretches, they are dealt to several shards, and each two of those are merged by binary search in one task. What is found of
+    a stretch becomes one row before it meets the texts again."""
+    twice = saved(_sides(docs, length, text_col).where("n > 1"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(twice))
+    rows = saved(_stretch_rows(docs, bits, length, text_col, True))
+    shards = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes) + 1
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     rows = rows.withColumns({"one": F.lit(0), "two": F.lit(0)})
-    if most > hot:
-        busy = counts.where(F.col("n") > hot).select("gram", F.ceil(F.col("n") / float(hot)).cast("int").alias("salts"))
-        rows = rows.join(small(saved(busy)), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    busy = saved(rows.groupBy("gram", "id").agg(F.lit(1)).groupBy("gram").agg(F.ceil(F.count("*") / float(hot)).cast("int").alias("salts")).where("salts > 1"))
+    if not busy.isEmpty():
+        rows = rows.join(small(busy), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
         each = F.transform(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1), lambda s: F.struct(F.least(s, F.col("salt")).alias("one"), F.greatest(s, F.col("salt")).alias("two"), F.coalesce("salts", F.lit(1)).alias("of")))
         rows = rows.withColumn("pair", F.explode(each)).withColumns({"one": F.col("pair.one"), "two": F.col("pair.two"), "shard": F.when(F.col("pair.of") > 1, F.col("gram")).otherwise(F.col("shard"))})
     else:
@@ -344,13 +367,35 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
                 for shard, ids, flags in zip((a, b), sides, a.find(b)):
                     for i, x, y in zip(ids, shard.starts.tolist(), shard.ends.tolist()):
                         hits[i] = flags[x : y - length + 1]
-        out = [(i, a, b) for i, flags in hits.items() for a, b in _runs(flags)]
-        columns = list(zip(*out)) or [[]] * 3
-        return pa.Table.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["id", "from", "to"])
-
-    found = saved(rows.groupBy("shard", "one", "two").applyInArrow(decide, "id binary, from long, to long"))
+        out = [(i, [{"from": a, "to": b} for a, b in _runs(flags)]) for i, flags in hits.items() if flags.any()]
+        columns = list(zip(*out)) or [[]] * 2
+        release()
+        return pa.Table.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))], names=["id", "runs"])
+
+    found = rows.groupBy("shard", "one", "two").applyInArrow(decide, "id binary, runs array<struct<from:int,to:int>>")
+    if not busy.isEmpty():
+        found = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    found = saved(found)
     where = _stretch_rows(docs, bits, length, text_col, False)
-    return where.join(small(found), "id").select("text_md5", "start", "from", "to")
+    return where.join(light(found, F.size("runs") * 16 + 64), "id").select("text_md5", "start", "runs")
+
+
+def spans(windows: DataFrame, length: int) -> DataFrame:
+    """(text_md5, spans) of what `repeated_windows` gives: the maximal runs of bytes, as flat lists of starts and ends."""
+    whole = windows.groupBy("text_md5").agg(F.collect_set(F.struct("start", "runs")).alias("parts"))
+
+    def merge(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                own = np.array(sorted((p["start"] + r["from"], p["start"] + r["to"] + length - 1) for p in parts for r in p["runs"]), np.int64)
+                reach = np.maximum.accumulate(own[:, 1])
+                first = np.concatenate([[True], own[1:, 0] > reach[:-1]])
+                out.append(np.stack([own[first, 0], reach[np.append(np.flatnonzero(first)[1:] - 1, len(own) - 1)]], 1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("text_md5"), pa.array(out, pa.list_(pa.int64()))], ["text_md5", "spans"])
+        release()
+
+    return whole.mapInArrow(merge, "text_md5 binary, spans array<long>")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **limits) -> DataFrame:
@@ -358,26 +403,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     Removes each byte of a text's UTF-8 that some `length`-byte string covers that also starts elsewhere, in the same or
     another document; strings are judged on the input. Rows of equal text have equal results. A null text counts as empty;
-    texts under `length` bytes lose nothing; ids may be null or repeated; other columns are ignored."""
-    spans = repeated_windows(docs, length, text_col, **limits).select("text_md5", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
-    spans = saved(spans.groupBy("text_md5").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("windows")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(small(spans), "text_md5", "left").select("doc_id", "text", "windows")
+    texts under `length` bytes lose nothing; long ones are walked in blocks; ids may be null or repeated; other columns are
+    ignored, and an empty table gives an empty result."""
+    found = saved(spans(repeated_windows(docs, length, text_col, **limits), length))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_md5"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(light(found, F.size("spans") * 8 + 64), "text_md5", "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist()):
-                text = text.encode("utf-8", "surrogatepass")
-                kept, at, n = [], 0, 0
-                for w in windows or ():
-                    a, b = w["a"], w["b"] + length - 1  # the bytes that the windows cover
-                    if a > at or n == 0:
-                        kept.append(text[at:a])
-                        n += 1
-                    at = max(at, b)
-                kept = b"".join([*kept, text[at:]])
-                out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                text, gone = text.encode("utf-8", "surrogatepass"), gone or []
+                edges = [0, *gone, len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out.append((len(text), len(text) - len(kept), len(gone) // 2, hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out)) or [[]] * 5
             made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made[: 4 + with_text]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
