@@ -20,6 +20,8 @@ GRAM = 32
 #: Bits of the filter of sides that occur twice; a full filter costs time, not results.
 FILTER_BITS = 26
 _PARTS = 64
+#: Stretches of a piece, on average (a power of two).
+PIECE = 4
 #: Bytes of stretches that one suffix array holds, and different stretches of one anchor beyond which they are dealt to several.
 SHARD_BYTES, HOT = 6_000_000, 20_000
 
@@ -80,15 +82,21 @@ def stretches(text: bytes, roller: _numeric.Roller, length: int, block: int = _n
 def suffix_array(data: np.ndarray, upto: int) -> np.ndarray:
     """The order of the suffixes of `data` by their first `upto` values (Larsson and Sadakane's refinement).
 
-    Ranks by the first h values give those by 2h: members of a group of equals are sorted by the rank h places on. Groups of
-    one are done and take no further part."""
+    A first sort is by as many values as fit one number. Ranks by the first h values give those by 2h: members of a group of
+    equals are sorted by the rank h places on. Groups of one are done and take no further part."""
     n = len(data)
-    order = np.argsort(data, kind="stable")
-    new = np.concatenate([[True], data[order][1:] != data[order][:-1]])
+    wide = int(data.max(initial=0)) + 2
+    h = max(1, min(4, int(62 / np.log2(wide))))  # values that fit one number
+    first = np.zeros(n, np.int64)
+    for k in range(h):
+        first *= wide
+        first[: max(n - k, 0)] += data[k:] + 1
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # the place of its group's first
-    h = 1
     while h < upto:
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, n))
@@ -98,7 +106,7 @@ def suffix_array(data: np.ndarray, upto: int) -> np.ndarray:
         members = order[todo]
         nexts = rank[np.minimum(members + h, n)] + 1
         key = rank[members] * (n + 2) + nexts
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[todo] = members[by]
         key = key[by]
         split = np.concatenate([[True], key[1:] != key[:-1]])
@@ -264,49 +272,93 @@ def _filter(twice: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def _stretch_rows(docs: DataFrame, bits, length: int, text_col: str, contents: bool) -> DataFrame:
-    """The stretches of which a side may occur twice. contents: (gram, id, n, text), each once a batch, n the times it stands
-    there; else (text_md5, start, id) of each, each text once a task. id: a digest of gram and text."""
+def _flagged(text: bytes, roller: _numeric.Roller, bits: np.ndarray, length: int):
+    """(grams, starts, windows, whether a side may occur twice) of a text's stretches."""
+    shift = np.uint64(64 - FILTER_BITS)
+    grams, starts, windows, *sides = stretches(text, roller, length)
+    maybe = np.zeros(len(grams), bool)
+    for side in sides:
+        slot = side >> shift
+        maybe |= ((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & (side > 0)
+    return grams, starts, windows, maybe
+
+
+def _piece_rows(docs: DataFrame, bits, length: int) -> DataFrame:
+    """(piece, n, text_md5, starts, windows) of the pieces with a stretch of which a side may occur twice, once for each batch
+    and text. A piece is a run of stretches; where it ends is told from the next one's anchor alone. piece: a digest of its
+    windows' bytes; n: how often it stands there."""
 
     def run(batches):
-        roller, told = _numeric.Roller(), set()
-        shift = np.uint64(64 - FILTER_BITS)
+        roller = _numeric.Roller()
         for batch in batches:
-            kept, rows = {}, []
+            rows = []
             for (md5, text), copies in Counter(zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist())).items():
-                if not contents:
-                    if md5 in told:
-                        continue
-                    told.add(md5)
                 text = text.encode("utf-8", "surrogatepass")
-                grams, starts, windows, *sides = stretches(text, roller, length)
-                maybe = np.zeros(len(grams), bool)
-                for side in sides:
-                    slot = side >> shift
-                    maybe |= ((bits.value[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & (side > 0)
-                found = np.flatnonzero(maybe)
-                for g, s, n in zip(grams[found].tolist(), starts[found].tolist(), windows[found].tolist()):
+                grams, starts, windows, maybe = _flagged(text, roller, bits.value, length)
+                if not maybe.any():
+                    continue
+                first = _piece_starts(grams, starts, windows)
+                ends = starts[np.append(first[1:], len(starts)) - 1] + windows[np.append(first[1:], len(starts)) - 1]
+                alive = np.logical_or.reduceat(maybe, first)
+                own = {}
+                for s, e in zip(starts[first[alive]].tolist(), ends[alive].tolist()):
+                    own.setdefault(hashlib.blake2b(text[s : e + length - 1], digest_size=16).digest(), (e - s, []))[1].append(s)
+                rows += [(i, copies * len(at), md5, at, n) for i, (n, at) in own.items()]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["piece", "n", "text_md5", "starts", "windows"])
+        release()
+
+    return docs.mapInArrow(run, "piece binary, n long, text_md5 binary, starts array<int>, windows int")
+
+
+def _piece_starts(grams: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The stretches that a piece begins with."""
+    ends = (_numeric.mix(grams) & np.uint64(PIECE - 1)) == 0
+    ends[0] = True
+    ends[1:] |= starts[1:] != starts[:-1] + windows[:-1]
+    return np.flatnonzero(ends)
+
+
+def _stretch_rows(texts: DataFrame, bits, length: int) -> DataFrame:
+    """(gram, id, n, text, text_md5, starts) of the stretches, of which a side may occur twice, in the given pieces of texts
+    (text_md5, text, pieces). id: a digest of gram and text; n: how often it stands in the batch. A stretch of a piece that
+    stands once has a row for each text with the places where it starts; of the others, no place is asked for, and they have
+    two rows' weight."""
+
+    def run(batches):
+        roller = _numeric.Roller()
+        for batch in batches:
+            kept, seen = {}, set()
+            for md5, text, pieces in zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist(), batch.column("pieces").to_pylist()):
+                if md5 in seen:  # of equal texts, every piece stands more than once
+                    continue
+                seen.add(md5)
+                text = text.encode("utf-8", "surrogatepass")
+                grams, starts, windows, maybe = _flagged(text, roller, bits.value, length)
+                lows = np.array([p["start"] for p in pieces], np.int64)
+                by = np.argsort(lows)
+                lows, highs = lows[by], lows[by] + np.array([p["windows"] for p in pieces], np.int64)[by]
+                once = np.array([p["once"] for p in pieces], bool)[by]
+                at = np.searchsorted(lows, starts, "right") - 1
+                found = np.flatnonzero(maybe & (at >= 0) & (starts < highs[np.maximum(at, 0)]))
+                for g, s, n, alone in zip(grams[found].tolist(), starts[found].tolist(), windows[found].tolist(), once[at[found]].tolist()):
                     part = text[s : s + n + length - 1]
                     i = hashlib.blake2b(part, digest_size=16, key=g.to_bytes(8, "big")).digest()
-                    if contents:
-                        row = kept.get(i)
-                        if row is None:
-                            kept[i] = [g - (1 << 64) if g >> 63 else g, i, copies, part]
-                        else:
-                            row[2] += copies
-                    else:
-                        rows.append((md5, s, i))
-            if contents:
-                columns = list(zip(*kept.values())) or [[]] * 4
-                kinds = [("gram", pa.int64()), ("id", pa.binary()), ("n", pa.int64()), ("text", pa.binary())]
-            else:
-                columns = list(zip(*rows)) or [[]] * 3
-                kinds = [("text_md5", pa.binary()), ("start", pa.int64()), ("id", pa.binary())]
+                    row = kept.setdefault((i, md5 if alone else None), [g - (1 << 64) if g >> 63 else g, 0, part, []])
+                    row[1] += 1 if alone else 2
+                    if alone:
+                        row[3].append(s)
+            sent, out = set(), []
+            for (i, md5), (g, n, part, at) in kept.items():
+                out.append((g, i, n, None if i in sent else part, md5, at))  # its bytes once a batch
+                sent.add(i)
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = [("gram", pa.int64()), ("id", pa.binary()), ("n", pa.int64()), ("text", pa.binary()), ("text_md5", pa.binary()), ("starts", pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [k for k, _ in kinds])
         release()
 
-    schema = "gram long, id binary, n long, text binary" if contents else "text_md5 binary, start long, id binary"
-    return docs.select(_digest(text_col).alias("text_md5"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, schema)
+    return texts.mapInArrow(run, "gram long, id binary, n long, text binary, text_md5 binary, starts array<int>")
 
 
 def _digest(text_col: str) -> Column:
@@ -314,16 +366,25 @@ def _digest(text_col: str) -> Column:
 
 
 def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(text_md5, start, runs): stretches of distinct texts that have windows which occur elsewhere too, and the runs (from, to)
-    of those windows, counted from start.
+    """(text_md5, starts, runs): stretches and pieces of distinct texts that have windows which occur elsewhere too, where they
+    start in the text, and the runs (from, to) of those windows, counted from there.
 
-    Stretches with one anchor meet in one shard. Equal stretches collapse before they move and in the shard; one that stands
+    Stretches are first taken together to pieces of some four. A piece that stands twice repeats all its windows; one of its
+    texts stands for it from there on, so a group of near copies gives its differences only. Stretches with one anchor meet in one shard. Equal stretches collapse before they move and in the shard; one that stands
     twice repeats all its windows. The rest is decided by the shard's suffix array. If an anchor has more than `hot` different
     stretches, they are dealt to several shards, and each two of those are merged by binary search in one task. What is found of
     a stretch becomes one row before it meets the texts again."""
     twice = saved(_sides(docs, length, text_col).where("n > 1"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter(twice))
-    rows = saved(_stretch_rows(docs, bits, length, text_col, True))
+    texts = docs.select(_digest(text_col).alias("text_md5"), F.col(text_col).alias("text")).where("text is not null")
+    placed = saved(_piece_rows(texts, bits, length))
+    known = placed.groupBy("piece").agg(F.sum("n").alias("all"), F.min("text_md5").alias("by"))
+    placed = saved(placed.join(known, "piece").select("text_md5", "starts", "windows", (F.col("all") == 1).alias("once"), (F.col("text_md5") == F.col("by")).alias("stands")))
+    whole = placed.where("not once").select("text_md5", "starts", F.array(F.struct(F.lit(0).alias("from"), F.col("windows").alias("to"))).alias("runs"))
+    asked = placed.where("stands").groupBy("text_md5").agg(F.collect_set(F.struct(F.element_at("starts", 1).alias("start"), "windows", "once")).alias("pieces"))
+    asked = saved(asked)
+    stretched = saved(_stretch_rows(texts.join(light(asked, F.size("pieces") * 16 + 48), "text_md5"), bits, length))
+    rows = stretched.select("gram", "id", "n", "text")
     shards = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes) + 1
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     rows = rows.withColumns({"one": F.lit(0), "two": F.lit(0)})
@@ -341,6 +402,7 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
         for g, i, n, text, salt in zip(*(table.column(c).to_pylist() for c in ("gram", "id", "n", "text", "salt"))):
             row = kept.setdefault(i, [g, 0, text, salt])
             row[1] += n
+            row[2] = row[2] or text
         by_gram = {}
         for i, row in kept.items():
             by_gram.setdefault(row[0], []).append(i)
@@ -376,19 +438,19 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
     if not busy.isEmpty():
         found = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
     found = saved(found)
-    where = _stretch_rows(docs, bits, length, text_col, False)
-    return where.join(light(found, F.size("runs") * 16 + 64), "id").select("text_md5", "start", "runs")
+    where = stretched.where("text_md5 is not null").select("id", "text_md5", "starts")
+    return where.join(light(found, F.size("runs") * 16 + 64), "id").select("text_md5", "starts", "runs").unionByName(whole)
 
 
 def spans(windows: DataFrame, length: int) -> DataFrame:
     """(text_md5, spans) of what `repeated_windows` gives: the maximal runs of bytes, as flat lists of starts and ends."""
-    whole = windows.groupBy("text_md5").agg(F.collect_set(F.struct("start", "runs")).alias("parts"))
+    whole = windows.groupBy("text_md5").agg(F.collect_set(F.struct("starts", "runs")).alias("parts"))
 
     def merge(batches):
         for batch in batches:
             out = []
             for parts in batch.column("parts").to_pylist():
-                own = np.array(sorted((p["start"] + r["from"], p["start"] + r["to"] + length - 1) for p in parts for r in p["runs"]), np.int64)
+                own = np.array(sorted((s + r["from"], s + r["to"] + length - 1) for p in parts for s in p["starts"] for r in p["runs"]), np.int64)
                 reach = np.maximum.accumulate(own[:, 1])
                 first = np.concatenate([[True], own[1:, 0] > reach[:-1]])
                 out.append(np.stack([own[first, 0], reach[np.append(np.flatnonzero(first)[1:] - 1, len(own) - 1)]], 1).ravel())
