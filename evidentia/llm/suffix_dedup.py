@@ -19,6 +19,8 @@ LENGTH = 200
 GRAM = 32
 #: Bits of the filter of sides that occur twice; a full filter costs time, not results.
 FILTER_BITS = 26
+#: Bits of a side's hash that are counted.
+SIDE_BITS = 40
 _PARTS = 64
 #: Stretches of a piece, on average (a power of two).
 PIECE = 4
@@ -27,37 +29,27 @@ SHARD_BYTES, HOT = 6_000_000, 20_000
 
 
 def _sliding_min_last(x: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values, the place of its least value, the last one of equals."""
-    n = len(x) - w + 1
-    pad = -len(x) % w
-    big = np.uint64(0xFFFFFFFFFFFFFFFF)
-    grid = np.concatenate([x, np.full(pad, big)]).reshape(-1, w)
-    place = np.arange(grid.size).reshape(grid.shape)
-
-    low = np.minimum.accumulate(grid, axis=1)
-    at = np.maximum.accumulate(np.where(grid == low, place, -1), axis=1)
-    # From the right: the last of equals is the first met, so only strictly lower values replace it.
-    back = grid[:, ::-1]
-    low_r = np.minimum.accumulate(back, axis=1)
-    fresh = np.concatenate([np.ones((len(back), 1), bool), back[:, 1:] < low_r[:, :-1]], axis=1)
-    at_r = np.maximum.accumulate(np.where(fresh, np.arange(w)[None, :], -1), axis=1)
-    at_r = (place[:, ::-1])[np.arange(len(back))[:, None], at_r]
-    low_r, at_r = low_r[:, ::-1].ravel(), at_r[:, ::-1].ravel()
-    low, at = low.ravel(), at.ravel()
-    i = np.arange(n)
-    j = i + w - 1
-    return np.where(low_r[i] < low[j], at_r[i], at[j])
+    """For each window of w values, the place of its least value (by the leading 40 bits), the last one of equals."""
+    low = np.uint64((1 << 24) - 1)
+    least = (x & ~low) | (low - np.arange(len(x), dtype=np.uint64))  # blocks are shorter than 2^24
+    span = 1
+    while 2 * span <= w:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < w:
+        least = np.minimum(least[: span - w], least[w - span :])
+    return (low - (least & low)).astype(np.int64)
 
 
 def stretches(text: bytes, roller: _numeric.Roller, length: int, block: int = _numeric.BLOCK):
-    """(anchor's hash, start, windows, hash to the left, hash to the right) of a text's stretches, in order.
+    """(anchor's hash, start, windows, hash to the left, hash to the right, anchor's place) of a text's stretches, in order.
 
     A window of `length` bytes is anchored by the gram in it with the least hash, the last of equals: equal windows have equal
     anchors at equal places. A stretch is the run of windows with one anchor; each window is in one stretch (in two, where a
     block ends). Of the bytes that a window has besides its anchor, half lie on one side at least. So of two equal windows the
     anchors have either this many equal bytes before them or as many after them: the hashes of anchor and side, 0 where the text
     ends before."""
-    out = tuple([np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.int64, np.uint64, np.uint64))
+    out = tuple([np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     gram = min(GRAM, length)
     side = (length - gram + 1) // 2
     for at in range(0, max(0, len(text) - length + 1), block):
@@ -74,11 +66,41 @@ def stretches(text: bytes, roller: _numeric.Roller, length: int, block: int = _n
         left[before] = roller.hashes(sums, place[before] - side, place[before] + gram)
         # Told from those to the left: a stretch's right side may be the left side of another one.
         right[after] = _numeric.mix(roller.hashes(sums, place[after], place[after] + gram + side))
-        for column, values in zip(out, (hashes[anchors[first]], first + at, np.diff(np.append(first, len(anchors))), left, right)):
+        for column, values in zip(out, (hashes[anchors[first]], first + at, np.diff(np.append(first, len(anchors))), left, right, place + base)):
             column.append(values)
     return tuple(map(np.concatenate, out))
 
 
+def walk(texts: list[bytes], roller: _numeric.Roller, length: int, block: int = 60_000):
+    """`stretches` of each text. Texts of some `block` bytes are walked as one buffer; longer ones for themselves, in blocks."""
+    gram = min(GRAM, length)
+    side = (length - gram + 1) // 2
+    for _, group in _numeric.blocks(texts, block):
+        lens = np.array(list(map(len, group)), np.int64)
+        if len(group) == 1 or lens.max() > block or lens.sum() < length:
+            yield from (stretches(t, roller, length) for t in group)
+            continue
+        data = np.frombuffer(b"".join(group), np.uint8)
+        ends = np.cumsum(lens)
+        begins = ends - lens
+        sums = roller.sums(data)
+        places = np.arange(len(data) - gram + 1)
+        hashes = roller.hashes(sums, places, places + gram)
+        anchors = _sliding_min_last(hashes, length - gram + 1)
+        own = np.repeat(np.arange(len(group)), lens)[: len(anchors)]
+        inside = np.flatnonzero(np.arange(len(anchors)) + length <= ends[own])  # windows that no text's end cuts
+        anchors, own = anchors[inside], own[inside]
+        first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (own[1:] != own[:-1])])[: len(inside)])
+        place, start, own = anchors[first], inside[first], own[first]
+        before, after = place - side >= begins[own], place + gram + side <= ends[own]
+        left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+        left[before] = roller.hashes(sums, place[before] - side, place[before] + gram)
+        right[after] = _numeric.mix(roller.hashes(sums, place[after], place[after] + gram + side))
+        columns = (hashes[place], start - begins[own], np.diff(np.append(first, len(inside))), left, right, place - begins[own])
+        cuts = np.searchsorted(own, np.arange(len(group) + 1)).tolist()
+        yield from (tuple(c[i:j] for c in columns) for i, j in zip(cuts, cuts[1:]))
+
+
 def suffix_array(data: np.ndarray, upto: int) -> np.ndarray:
     """The order of the suffixes of `data` by their first `upto` values (Larsson and Sadakane's refinement).
 
@@ -229,13 +251,14 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sides(docs: DataFrame, length: int, text_col: str) -> DataFrame:
-    """(side, n): the hashes of anchors with one side, and how many stretches have them."""
+    """(side, n): the leading bits of the hashes of anchors with one side, and how many stretches have them."""
 
     def run(batches):
         roller = _numeric.Roller()
         for batch in batches:
             copies = Counter(batch.column(0).to_pylist())  # equal texts of a batch are walked once
-            sides = [np.concatenate(stretches((t or "").encode("utf-8", "surrogatepass"), roller, length)[3:]) for t in copies]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in copies]
+            sides = [np.concatenate(s[3:5]) >> np.uint64(64 - SIDE_BITS) for s in walk(texts, roller, length)]
             values, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sides]), return_inverse=True)
             n = np.bincount(at, np.repeat(list(copies.values()), list(map(len, sides))), len(values))
             known = values > 0
@@ -253,7 +276,7 @@ def _filter(twice: DataFrame) -> np.ndarray:
     def mark(batches):
         bits = np.zeros(size, bool)
         for batch in batches:
-            bits[batch.column("side").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+            bits[batch.column("side").to_numpy().view(np.uint64) >> np.uint64(SIDE_BITS - FILTER_BITS)] = True
         packed = np.packbits(bits).reshape(_PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in packed], pa.binary())], schema.names)
 
@@ -272,15 +295,17 @@ def _filter(twice: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def _flagged(text: bytes, roller: _numeric.Roller, bits: np.ndarray, length: int):
-    """(grams, starts, windows, whether a side may occur twice) of a text's stretches."""
+def _flagged(texts: list[bytes], roller: _numeric.Roller, bits: np.ndarray, length: int):
+    """(grams, starts, windows, whether a side may occur twice, first and end of the windows whose side may) of each text's
+    stretches."""
     shift = np.uint64(64 - FILTER_BITS)
-    grams, starts, windows, *sides = stretches(text, roller, length)
-    maybe = np.zeros(len(grams), bool)
-    for side in sides:
-        slot = side >> shift
-        maybe |= ((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & (side > 0)
-    return grams, starts, windows, maybe
+    reach = (length - min(GRAM, length) + 1) // 2
+    for grams, starts, windows, *sides, places in walk(texts, roller, length):
+        left, right = (((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & (side > 0) for side in sides for slot in [side >> shift])
+        # Windows up to `reach` before the anchor hold its left side whole, those from there on its right side.
+        low = np.where(left, starts, np.maximum(starts, places - reach))
+        high = np.where(right, starts + windows, np.minimum(starts + windows, places - reach + 1))
+        yield grams, starts, windows, (left | right) & (low < high), low, high
 
 
 def _piece_rows(docs: DataFrame, bits, length: int) -> DataFrame:
@@ -292,9 +317,9 @@ def _piece_rows(docs: DataFrame, bits, length: int) -> DataFrame:
         roller = _numeric.Roller()
         for batch in batches:
             rows = []
-            for (md5, text), copies in Counter(zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist())).items():
-                text = text.encode("utf-8", "surrogatepass")
-                grams, starts, windows, maybe = _flagged(text, roller, bits.value, length)
+            copied = Counter(zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist()))
+            texts = [text.encode("utf-8", "surrogatepass") for _, text in copied]
+            for (md5, _), copies, text, (grams, starts, windows, maybe, *_) in zip(copied, copied.values(), texts, _flagged(texts, roller, bits.value, length)):
                 if not maybe.any():
                     continue
                 first = _piece_starts(grams, starts, windows)
@@ -321,29 +346,28 @@ def _piece_starts(grams: np.ndarray, starts: np.ndarray, windows: np.ndarray) ->
 
 
 def _stretch_rows(texts: DataFrame, bits, length: int) -> DataFrame:
-    """(gram, id, n, text, text_md5, starts) of the stretches, of which a side may occur twice, in the given pieces of texts
-    (text_md5, text, pieces). id: a digest of gram and text; n: how often it stands in the batch. A stretch of a piece that
+    """(gram, id, n, text, text_md5, starts) of the stretches, cut to the windows with a side that may occur twice, in the given
+    pieces of texts (text_md5, text, pieces). Whether a window stays is told from its own bytes. id: a digest of gram and text; n: how often it stands in the batch. A stretch of a piece that
     stands once has a row for each text with the places where it starts; of the others, no place is asked for, and they have
     two rows' weight."""
 
     def run(batches):
         roller = _numeric.Roller()
         for batch in batches:
-            kept, seen = {}, set()
-            for md5, text, pieces in zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist(), batch.column("pieces").to_pylist()):
-                if md5 in seen:  # of equal texts, every piece stands more than once
-                    continue
-                seen.add(md5)
-                text = text.encode("utf-8", "surrogatepass")
-                grams, starts, windows, maybe = _flagged(text, roller, bits.value, length)
+            kept = {}
+            # Of equal texts one will do: every piece stands more than once.
+            own = {md5: (text.encode("utf-8", "surrogatepass"), k) for k, (md5, text) in enumerate(zip(batch.column("text_md5").to_pylist(), batch.column("text").to_pylist()))}
+            texts, asked = [text for text, _ in own.values()], batch.column("pieces")
+            for (md5, (text, k)), (grams, starts, _, maybe, low, high) in zip(own.items(), _flagged(texts, roller, bits.value, length)):
+                pieces = asked[k].as_py()
                 lows = np.array([p["start"] for p in pieces], np.int64)
                 by = np.argsort(lows)
                 lows, highs = lows[by], lows[by] + np.array([p["windows"] for p in pieces], np.int64)[by]
                 once = np.array([p["once"] for p in pieces], bool)[by]
                 at = np.searchsorted(lows, starts, "right") - 1
                 found = np.flatnonzero(maybe & (at >= 0) & (starts < highs[np.maximum(at, 0)]))
-                for g, s, n, alone in zip(grams[found].tolist(), starts[found].tolist(), windows[found].tolist(), once[at[found]].tolist()):
-                    part = text[s : s + n + length - 1]
+                for g, s, e, alone in zip(grams[found].tolist(), low[found].tolist(), high[found].tolist(), once[at[found]].tolist()):
+                    part = text[s : e + length - 1]
                     i = hashlib.blake2b(part, digest_size=16, key=g.to_bytes(8, "big")).digest()
                     row = kept.setdefault((i, md5 if alone else None), [g - (1 << 64) if g >> 63 else g, 0, part, []])
                     row[1] += 1 if alone else 2
