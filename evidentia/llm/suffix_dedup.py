@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -346,7 +347,7 @@ def _piece_starts(grams: np.ndarray, starts: np.ndarray, windows: np.ndarray) ->
 
 
 def _stretch_rows(texts: DataFrame, bits, length: int) -> DataFrame:
-    """(gram, id, n, text, text_md5, starts) of the stretches, cut to the windows with a side that may occur twice, in the given
+    """(gram, id, n, windows, text, text_md5, starts) of the stretches, cut to the windows with a side that may occur twice, in the given
     pieces of texts (text_md5, text, pieces). Whether a window stays is told from its own bytes. id: a digest of gram and text; n: how often it stands in the batch. A stretch of a piece that
     stands once has a row for each text with the places where it starts; of the others, no place is asked for, and they have
     two rows' weight."""
@@ -375,14 +376,30 @@ def _stretch_rows(texts: DataFrame, bits, length: int) -> DataFrame:
                         row[3].append(s)
             sent, out = set(), []
             for (i, md5), (g, n, part, at) in kept.items():
-                out.append((g, i, n, None if i in sent else part, md5, at))  # its bytes once a batch
+                out.append((g, i, n, len(part) - length + 1, None if i in sent else part, md5, at))  # its bytes once a batch
                 sent.add(i)
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = [("gram", pa.int64()), ("id", pa.binary()), ("n", pa.int64()), ("text", pa.binary()), ("text_md5", pa.binary()), ("starts", pa.list_(pa.int32()))]
+            columns = list(zip(*out)) or [[]] * 7
+            kinds = [("gram", pa.int64()), ("id", pa.binary()), ("n", pa.int64()), ("windows", pa.int32()), ("text", pa.binary()), ("text_md5", pa.binary()), ("starts", pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [k for k, _ in kinds])
         release()
 
-    return texts.mapInArrow(run, "gram long, id binary, n long, text binary, text_md5 binary, starts array<int>")
+    return texts.mapInArrow(run, "gram long, id binary, n long, windows int, text binary, text_md5 binary, starts array<int>")
+
+
+def _without_lone(stretched: DataFrame, shared: DataFrame) -> DataFrame:
+    """(gram, id, n, windows, text), with a null text where the anchor, by a bitmap of the shared ones, has one stretch only:
+    how often that stands is all there is to know."""
+    leading = lambda bits: F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits)
+    bits = stretched.sparkSession.sparkContext.broadcast(_filter(shared.select(leading(SIDE_BITS).alias("side"))))
+
+    def strip(batches):
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            stays = ((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+            text = pc.if_else(pa.array(stays), batch.column("text"), pa.scalar(None, batch.schema.field("text").type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text], ["gram", "id", "n", "windows", "text"])
+
+    return stretched.select("gram", "id", "n", "windows", "text", leading(FILTER_BITS).alias("slot")).mapInArrow(strip, "gram long, id binary, n long, windows int, text binary")
 
 
 def _digest(text_col: str) -> Column:
@@ -408,11 +425,12 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
     asked = placed.where("stands").groupBy("text_md5").agg(F.collect_set(F.struct(F.element_at("starts", 1).alias("start"), "windows", "once")).alias("pieces"))
     asked = saved(asked)
     stretched = saved(_stretch_rows(texts.join(light(asked, F.size("pieces") * 16 + 48), "text_md5"), bits, length))
-    rows = stretched.select("gram", "id", "n", "text")
-    shards = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes) + 1
+    shared = saved(stretched.groupBy("gram", "id").agg(F.lit(1)).groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    rows = _without_lone(stretched, shared)
+    shards = int(stretched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes) + 1
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     rows = rows.withColumns({"one": F.lit(0), "two": F.lit(0)})
-    busy = saved(rows.groupBy("gram", "id").agg(F.lit(1)).groupBy("gram").agg(F.ceil(F.count("*") / float(hot)).cast("int").alias("salts")).where("salts > 1"))
+    busy = saved(shared.select("gram", F.ceil(F.col("kinds") / float(hot)).cast("int").alias("salts")).where("salts > 1"))
     if not busy.isEmpty():
         rows = rows.join(small(busy), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
         each = F.transform(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1), lambda s: F.struct(F.least(s, F.col("salt")).alias("one"), F.greatest(s, F.col("salt")).alias("two"), F.coalesce("salts", F.lit(1)).alias("of")))
@@ -423,8 +441,8 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
     def decide(key, table):
         one, two = key[1].as_py(), key[2].as_py()
         kept, hits = {}, {}
-        for g, i, n, text, salt in zip(*(table.column(c).to_pylist() for c in ("gram", "id", "n", "text", "salt"))):
-            row = kept.setdefault(i, [g, 0, text, salt])
+        for g, i, n, windows, text, salt in zip(*(table.column(c).to_pylist() for c in ("gram", "id", "n", "windows", "text", "salt"))):
+            row = kept.setdefault(i, [g, 0, text, salt, windows])
             row[1] += n
             row[2] = row[2] or text
         by_gram = {}
@@ -445,7 +463,7 @@ def repeated_windows(docs: DataFrame, length: int, text_col: str, shard_bytes: i
                     hits[i] = flags[a : b - length + 1]
             for i, row in kept.items():
                 if row[1] > 1:
-                    hits[i] = np.ones(len(row[2]) - length + 1, bool)
+                    hits[i] = np.ones(row[4], bool)
         else:
             sides = [[i for i in chosen if kept[i][3] == s] for s in (one, two)]
             if all(sides):
