@@ -77,18 +77,25 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple:
+    """`docs` with columns named by their places, which clash with no name used inside, and the new names of `names`."""
+    new, old = [f"_column{k}" for k in range(len(docs.columns))], [c.lower() for c in docs.columns]
+    return (docs.toDF(*new), *[new[old.index(x.lower())] for x in names])
+
+
 def keep_only(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `decisions` leaves.
 
     decisions: (id, text_md5, stays) for every row that goes (stays = 0) or is one of several like rows of which one stays
-    (stays = 1). Rows without a decision stay. Nulls match nulls; a null text counts as its own value."""
+    (stays = 1). Rows without a decision stay. Nulls match nulls; a null text counts as its own value; any column names will do."""
     decisions = saved(decisions.select(F.col("id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("stays").alias("_stays")).distinct())
-    marked = docs.withColumn("_text_md5", F.md5(F.col(text_col)))
+    rows, own_id, own_text = numbered(docs, id_col, text_col)
+    marked = rows.withColumn("_text_md5", F.md5(F.col(own_text)))
     d = small(decisions)
-    marked = marked.join(d, marked[id_col].eqNullSafe(d["_id"]) & marked["_text_md5"].eqNullSafe(d["_md5"]), "left")
+    marked = marked.join(d, marked[own_id].eqNullSafe(d["_id"]) & marked["_text_md5"].eqNullSafe(d["_md5"]), "left")
     out = marked.where(F.col("_stays").isNull())
     if not decisions.where("_stays = 1").isEmpty():
         w = W.partitionBy("_id", "_md5").orderBy(F.lit(1))
         once = marked.where("_stays = 1").withColumn("_n", F.row_number().over(w)).where("_n = 1")
         out = out.unionByName(once.drop("_n"))
-    return out.select(*docs.columns)
+    return out.select(*rows.columns).toDF(*docs.columns)

@@ -336,3 +336,35 @@ def test_pipeline(spark, docs, tmp_path):
     # 1 equals 2, and 4 is near 2; 3 equals neither (its capitals are not only A to Z). 8 equals 9; the others have no letter.
     ids = {r.doc_id for r in out}
     assert ids <= {r[0] for r in ROWS} - {1, 4, 5, 6, 7, 8, 11} and {2, 3} <= ids
+
+
+CLASHES = "size part epochs _id _stays _row _copy _text_md5 _lang_pred _score _n _md5 _nth _column0".split()
+
+
+def test_clashing_columns(spark, docs):
+    """Stages give the same rows whatever the other columns are called, and those columns as they were."""
+    plain = docs.select("doc_id", "text", "lang", "source").where("doc_id is not null")
+    clashing = plain.selectExpr("*", *[f"concat(doc_id, '{c}') as {c}" for c in CLASHES])
+    for f in (langid.keep_identified, exact_dedup.drop_copies, mixing.mixture, ngram_join.one_of_each):
+        got = f(clashing).collect()
+        assert all(r[c] == f"{r.doc_id}{c}" for r in got for c in CLASHES), f.__name__
+        same([r[:4] for r in got], [tuple(r) for r in f(plain).collect()])
+
+
+def test_suffix_dedup_family(spark):
+    """Near copies, a text that repeats itself, one past a block of two megabytes, and copies, against brute force."""
+    own = random.Random(11)
+    base = bytes(own.choice(b"abcdefgh ") for _ in range(2500)).decode()
+    texts = [base[:k] + "#" + base[k + 1 :] for k in range(50, 2450, 300)] + [base, base, "xyz " * 300, base[300:900] + "xyz " * 60, "".join(own.choice("abcdefgh ") for _ in range(2_050_000)) + base[:700]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = []
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want.append((k, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha("".join(c for c, g in zip(t, gone) if not g))))
+    del seen
+    for limits in ({}, {"hot": 3, "shard_bytes": 3000}):
+        same(suffix_dedup.suffix_dedup(rows, **limits).collect(), want)
