@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm._common import release
+
 #: Characters whose words are encoded together; words that a task keeps; bytes from which a word counts as long.
 BLOCK, KEPT_WORDS, LONG = 4_000_000, 600_000, 200
 
@@ -187,6 +189,8 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
                 yield out
         finally:
             tokenizer.close()
+            del tokenizer
+            release()
 
     kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((x, {"ids": pa.list_(pa.int32()), "decoded": pa.binary()}[x]) for x in outputs)]
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.llm._common import numbered, release
+
 BITS = 16
 ORDERS = (1, 2, 3)
 #: Training uses so many labelled rows of a language at most, chosen by a hash of the row, and their whole texts.
@@ -84,6 +86,7 @@ def fit(labelled: DataFrame, table, sample_rows: int = SAMPLE_ROWS) -> tuple[lis
         for lang, own in counts.items():
             parts = own.reshape(16, -1)
             yield pd.DataFrame({"lang": lang, "part": range(16), "counts": [list(x) for x in parts]})
+        release()
 
     parts = rows.select("lang", "text").mapInPandas(count, "lang string, part int, counts array<long>")
     sums = parts.select("lang", "part", F.posexplode("counts").alias("at", "n")).groupBy("lang", "part", "at").agg(F.sum("n").alias("n"))
@@ -119,6 +122,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, table, text_c
                 best, p, found = np.zeros(len(texts), int), np.zeros(len(texts)), found & False
             best = pa.array([langs[b] if ok else und for b, ok in zip(best, found)], pa.string())
             yield batch.append_column(names[0], best).append_column(names[1], pa.array(np.where(found, p, 0.0)))
+        release()
 
     return docs.mapInArrow(score, schema)
 
@@ -142,7 +146,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`docs` without the rows whose language is undetermined or predicted with a lower score."""
+    """`docs` without the rows whose language is undetermined or predicted with a lower score; any column names will do."""
     _, table, langs, matrix = _trained(docs, id_col, text_col, lang_col)
-    scored = predict(docs, langs, matrix, table, text_col, ("_lang_pred", "_score"))
-    return scored.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least_score)).select(*docs.columns)
+    rows, own_text = numbered(docs, text_col)
+    scored = predict(rows, langs, matrix, table, own_text, ("_lang_pred", "_score"))
+    return scored.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least_score)).select(*rows.columns).toDF(*docs.columns)
