@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia.llm import _numeric
-from evidentia.llm._common import filed, keep_only, saved, small
+from evidentia.llm._common import filed, keep_only, release, saved, small
 
 WIDTH, PERCENT = 4, 85
 
@@ -23,11 +23,31 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def shingle_sets(texts: list[str], width: int):
+def _texts(batch):
+    """A batch's texts, some hundred at a time."""
+    column = batch.column("text")
+    for at in range(0, len(column), 200):
+        yield from (t or "" for t in column.slice(at, 200).to_pylist())
+
+
+def _groups(texts, limit: int = 250_000):
+    """The texts' bytes in lower case, in lists of some `limit` bytes, of one text at least."""
+    part, total = [], 0
+    for t in texts:
+        part.append(t.encode("utf-8", "surrogatepass").translate(_LOWER))
+        total += len(part[-1])
+        if total >= limit:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def shingle_sets(texts, width: int):
     """The sorted distinct 64-bit hashes of each text's shingles, in turn."""
     roller = _numeric.Roller()
     keys = _numeric.mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    for _, part in _numeric.blocks([t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]):
+    for part in _groups(texts):
         data = np.frombuffer(b"\n" + b"\n".join(part) + b"\n", np.uint8)
         space = _SPACE[data]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -56,10 +76,11 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     def count(batches):
         counts = np.zeros(size, np.uint32)
         for batch in batches:
-            for hashes in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width):
+            for hashes in shingle_sets(_texts(batch), width):
                 np.add.at(counts, hashes >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(_PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
+        release()
 
     def add(kind):
         def run(key, rows):
@@ -87,7 +108,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id
     def run(batches):
         for batch in batches:
             n, fp, gid, usual, prefixes = [], [], [], [], []
-            for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width):
+            for s in shingle_sets(_texts(batch), width):
                 level = shared.value[s >> np.uint64(64 - SKETCH_BITS)]
                 ordered = s[np.argsort(level, kind="stable")] if level.any() else s
                 p = ordered[: len(s) - _needed(len(s), percent) + 1] if len(s) else s
@@ -100,6 +121,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), pa.array(usual, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "usual", "prefix"])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text"))
@@ -131,7 +153,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, pe
 
     def make(batches):
         for batch in batches:
-            made = [s.view(np.int64) for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width)]
+            made = [s.view(np.int64) for s in shingle_sets(_texts(batch), width)]
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))
             yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], ["fp", "shingles"])
