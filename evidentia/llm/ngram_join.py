@@ -200,7 +200,8 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     members = saved(filled.select(F.xxhash64("gid").alias("key"), "fp").distinct())
     groups = filled.groupBy("gid").agg((F.min("fp") != F.max("fp")).alias("many"), F.first("n").alias("n"), F.first("usual").alias("usual"), F.first("prefix").alias("prefix"))
     heads = saved(members.groupBy("key").agg(F.min("fp").alias("first")))
-    fits = lambda other: F.coalesce(_sizes(F.col("n"), other, percent), F.lit(False))
+    # least() and greatest() pass over nulls: without a neighbour the comparison alone would hold.
+    fits = lambda other: other.isNotNull() & _sizes(F.col("n"), other, percent)
     # One shuffle, by shingle, serves all windows.
     postings = groups.select(F.xxhash64("gid").alias("key"), "many", "usual", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).repartition("token")
     postings = postings.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
