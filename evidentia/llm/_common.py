@@ -77,6 +77,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(run):
+    """`run`, a function of a task's batches, that calls `release` when it is through: its last batch is gone by then too."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def numbered(docs: DataFrame, *names: str) -> tuple:
     """`docs` with columns named by their places, which clash with no name used inside, and the new names of `names`."""
     new, old = [f"_column{k}" for k in range(len(docs.columns))], [c.lower() for c in docs.columns]

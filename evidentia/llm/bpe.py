@@ -9,10 +9,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import release
+from evidentia.llm._common import released
 
 #: Characters whose words are encoded together; words that a task keeps; bytes from which a word counts as long.
 BLOCK, KEPT_WORDS, LONG = 4_000_000, 600_000, 200
@@ -151,16 +152,16 @@ class Tokenizer:
             yield b",".join([k[0] for k in known]), b"".join([k[1] for k in known])
 
 
-def blocks(texts: list[str]):
-    """Slices of some BLOCK characters, of one text at least."""
+def blocks(lengths: list[int]):
+    """(start, end) of runs of texts of some BLOCK characters, of one text at least."""
     at = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
+    for k, n in enumerate(lengths):
+        total += n
         if total >= BLOCK:
-            yield texts[at : k + 1]
+            yield at, k + 1
             at, total = k + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ()) -> DataFrame:
@@ -177,22 +178,21 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
         tokenizer = Tokenizer(*shared.value, pattern)
         try:
             for batch in batches:
-                rows = []
-                for part in blocks([t or "" for t in batch.column("text").to_pylist()]):
-                    for ids, text in tokenizer.texts(part):
+                # One block's texts, and what is made of them, are in Python at a time.
+                for a, b in blocks(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+                    part, rows = batch.slice(a, b - a), []
+                    for ids, text in tokenizer.texts([t or "" for t in part.column("text").to_pylist()]):
                         row = (ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
                         more = {"ids": lambda: np.array(ids.split(b",") if ids else [], np.int32), "decoded": lambda: text}
                         rows.append((*row, *(more[x]() for x in outputs)))
-                out = batch.drop_columns(["text"])
-                for (name, kind), values in zip(kinds, zip(*rows) if rows else [[] for _ in kinds]):
-                    out = out.append_column(name, pa.array(values, kind))
-                yield out
+                    out = part.drop_columns(["text"])
+                    for (name, kind), values in zip(kinds, zip(*rows)):
+                        out = out.append_column(name, pa.array(values, kind))
+                    yield out
         finally:
             tokenizer.close()
-            del tokenizer
-            release()
 
     kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((x, {"ids": pa.list_(pa.int32()), "decoded": pa.binary()}[x]) for x in outputs)]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded binary"}[x] for x in outputs)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm._common import numbered, release
+from evidentia.llm._common import numbered, released
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -86,9 +86,8 @@ def fit(labelled: DataFrame, table, sample_rows: int = SAMPLE_ROWS) -> tuple[lis
         for lang, own in counts.items():
             parts = own.reshape(16, -1)
             yield pd.DataFrame({"lang": lang, "part": range(16), "counts": [list(x) for x in parts]})
-        release()
 
-    parts = rows.select("lang", "text").mapInPandas(count, "lang string, part int, counts array<long>")
+    parts = rows.select("lang", "text").mapInPandas(released(count), "lang string, part int, counts array<long>")
     sums = parts.select("lang", "part", F.posexplode("counts").alias("at", "n")).groupBy("lang", "part", "at").agg(F.sum("n").alias("n"))
     total = np.zeros((len(langs), features))
     for r in sums.where("n > 0").toLocalIterator():
@@ -122,9 +121,8 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, table, text_c
                 best, p, found = np.zeros(len(texts), int), np.zeros(len(texts)), found & False
             best = pa.array([langs[b] if ok else und for b, ok in zip(best, found)], pa.string())
             yield batch.append_column(names[0], best).append_column(names[1], pa.array(np.where(found, p, 0.0)))
-        release()
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(released(score), schema)
 
 
 def _trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia.llm import _numeric
-from evidentia.llm._common import filed, keep_only, release, saved, small
+from evidentia.llm._common import filed, keep_only, released, saved, small
 
 WIDTH, PERCENT = 4, 85
 
@@ -80,7 +80,6 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
                 np.add.at(counts, hashes >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(_PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
-        release()
 
     def add(kind):
         def run(key, rows):
@@ -90,7 +89,7 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
         return run
 
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "part int, counts binary")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(released(count), "part int, counts binary")
     few = rows.groupBy("part", F.expr("spark_partition_id() div 100").alias("hundred")).applyInArrow(lambda k, t: add(np.uint16)(k, t).cast(schema), "part int, counts binary")
     whole = few.groupBy("part").applyInArrow(lambda k, t: add(np.uint32)(k, t).cast(schema), "part int, counts binary")
     counts = np.zeros((_PARTS, size // _PARTS), np.float64)
@@ -121,11 +120,10 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), pa.array(usual, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "usual", "prefix"])
-        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, usual int, prefix array<long>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, usual int, prefix array<long>")
 
 
 def _sizes(a, b, percent: int):
@@ -160,7 +158,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, pe
 
     texts = docs.select(F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text")).join(small(wanted), "text_md5").select("fp", "text")
     # Not saved: both joins read one exchange by fp.
-    whole = texts.mapInArrow(make, "fp binary, shingles array<long>").dropDuplicates(["fp"])
+    whole = texts.mapInArrow(released(make), "fp binary, shingles array<long>").dropDuplicates(["fp"])
     a, b = (whole.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     return likely.join(a, "a").join(b, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
