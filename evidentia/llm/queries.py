@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, chat, exact_dedup, langid, licenses, mixing, ngram_join, quality, sharding, suffix_dedup
+from evidentia.llm import bpe, chat, divergence, exact_dedup, langid, licenses, merkle, mixing, ngram_join, quality, sharding, simhash, suffix_dedup
 from evidentia.llm._common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,7 +63,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_trees, op2_bpe, op3_suffix_dedup, op4_language, op5_quality, op6_ngram_join, op7_sharding, op8_licenses, op9_mixing, op10_exact_dedup)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def _one_more(at: dict) -> dict:
+    """The tampering of op12: one character more where 7 divides the id's checksum."""
+    n = at["n_chars"]
+    chosen = F.crc32(at["doc_id"].cast("string")) % 7 == 0
+    return {"n_chars": F.when(chosen, (n.cast("decimal(20,0)") + 1).cast("string")).otherwise(n.cast("string"))}
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), change=_one_more))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_trees, op2_bpe, op3_suffix_dedup, op4_language, op5_quality, op6_ngram_join, op7_sharding, op8_licenses, op9_mixing, op10_exact_dedup, op11_divergence, op12_merkle, op13_simhash)}
 
 
 def _quote(s: str) -> str:
@@ -188,7 +207,79 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, {_AZ.format("coalesce(text, '')")} AS t FROM documents) WINDOW g AS (PARTITION BY t)
 """
 
+OP11_SQL = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, in_lang, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(term) AS v, coalesce(sum(in_lang), 0) AS lang_total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+g AS (SELECT lang, source, v, lang_total, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p,
+        1 + 1000000000::HUGEINT * (k.in_lang + 2) // (lang_total + 2 * v) AS q
+    FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+_FRAMED = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+
+
+def _leaf_sql(**other: str) -> str:
+    return "sha256(" + " || ".join(_FRAMED.format(other.get(f, f)) for f in merkle.FIELDS) + ")"
+
+
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE l AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql()} AS leaf,
+        CASE WHEN crc % 7 = 0 THEN {_leaf_sql(n_chars="(n_chars::HUGEINT + 1)")} ELSE leaf END AS changed
+    FROM (SELECT *, {_CRC} AS crc FROM documents)
+), t AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM l)),
+placed AS MATERIALIZED (
+    SELECT r, tree, trees, doc_id, leaf, changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+    FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang
+), nodes(tree, level, idx, n, node) AS (
+    SELECT tree, 0, idx, n, leaf FROM placed
+    UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n
+), sub AS MATERIALIZED (SELECT tree, level AS height, node AS subroot FROM nodes WHERE n = 1),
+above(tree, level, idx, n, node) AS (
+    SELECT 0, 0, tree - 1, count(*) OVER (), subroot FROM sub
+    UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY idx)) FROM above WHERE n > 1 GROUP BY tree, level, idx // 2, n
+), top AS MATERIALIZED (SELECT level AS height, node AS root FROM above WHERE n = 1),
+steps AS MATERIALIZED (
+    SELECT r, k AS level, (p.idx // (1::BIGINT << k)) % 2 AS side, s.node
+    FROM (SELECT *, unnest(range(0, height)) AS k FROM placed JOIN sub USING (tree)) p
+        LEFT JOIN nodes s ON s.tree = p.tree AND s.level = k AND s.idx = xor(p.idx // (1::BIGINT << k), 1)
+    UNION ALL
+    SELECT r, height + k, ((p.tree - 1) // (1::BIGINT << k)) % 2, s.node
+    FROM (SELECT r, tree, sub.height, unnest(range(0, top.height)) AS k FROM placed JOIN sub USING (tree) CROSS JOIN top) p
+        LEFT JOIN above s ON s.level = k AND s.idx = xor((p.tree - 1) // (1::BIGINT << k), 1)
+), folded(r, level, h) AS (
+    SELECT r, 0::BIGINT, changed FROM placed
+    UNION ALL SELECT f.r, f.level + 1, sha256(CASE WHEN side = 1 THEN coalesce(node, '') ELSE '' END || h || CASE WHEN side = 0 THEN coalesce(node, '') ELSE '' END)
+    FROM folded f JOIN steps s ON s.r = f.r AND s.level = f.level
+), proof AS (SELECT r, string_agg(node, '' ORDER BY level) AS siblings FROM steps GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN sub USING (tree) CROSS JOIN top LEFT JOIN proof USING (r) JOIN folded f ON f.r = placed.r AND f.level = sub.height + top.height
+"""
+
 ORACLE = {
     "op1_chat_trees": OP1_SQL, "op5_quality": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_licenses": _op8_sql(),
     "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL,
+    "op11_divergence": OP11_SQL, "op12_merkle": OP12_SQL,
 }
