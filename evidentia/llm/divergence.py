@@ -80,9 +80,9 @@ def shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
     return whole + np.int64(1)
 
 
-def tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """The pair submatrix of two blocks of groups over the successive chunks of a run: (lang, a, b, value, terms), where terms are those
-    that any group of the tile has."""
+def tile(key: tuple, rows: pa.Table, block: int) -> pa.Table:
+    """The pair submatrix of two blocks of groups over the successive chunks of a run: (lang, a, b, value, seen), where `seen` counts the
+    terms that any group of the tile has."""
     low, high = key[1].as_py(), key[2].as_py()
     rows = rows.sort_by("chunk")
     chunk = rows.column("chunk").to_numpy()
@@ -91,8 +91,8 @@ def tile(key: tuple, rows: pa.Table) -> pa.Table:
     totals = dict(zip(g.tolist(), total.tolist()))
     groups = sorted(totals)
     place = {x: k for k, x in enumerate(groups)}
-    left = [k for k, x in enumerate(groups) if x // BLOCK == low]
-    right = np.array([k for k, x in enumerate(groups) if x // BLOCK == high], np.int64)
+    left = [k for k, x in enumerate(groups) if x // block == low]
+    right = np.array([k for k, x in enumerate(groups) if x // block == high], np.int64)
     sums, seen, vocabulary = np.zeros((len(groups), len(groups)), np.int64), 0, int(terms[0])
     for start, end in zip(edges[:-1], edges[1:]):
         packs = rows.slice(int(start), int(end - start)).column("pack").combine_chunks()
@@ -120,7 +120,7 @@ def gap(p: str, q: str) -> str:
     return f"({p} - {q}) * ({p} - {q}) div ({p} + {q})"
 
 
-def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source of a language is from each other one (part `pair`, all ranks), and
     the terms that it has more of than the language (part `term`, ranks to 10).
 
@@ -128,16 +128,17 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     Repeated rows count each; columns beyond the three, whatever their names, are left aside; an empty table gives no rows.
     A language's terms are dealt to chunks by hash. A group's counts in a chunk are one packed vector; each is replicated to the
     tiles of its block of groups with each other block, and a task computes a tile over the successive chunks of a run. Sums over
-    runs are added by Spark. Terms that no group of a tile has count by their number."""
+    runs are added by Spark. Terms that no group of a tile has count by their number.
+    min_docs: documents of a language that a term needs; top: ranks of part `term`."""
     rows, lang, source, text = numbered(docs, lang_col, source_col, text_col)
     rows = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = filed(term_counts(rows))
     occurring = counts.where("term IS NOT NULL")
-    kept = filed(occurring.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("in_lang")).where(F.col("docs") >= MIN_DOCS).drop("docs"))
+    kept = filed(occurring.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("in_lang")).where(F.col("docs") >= min_docs).drop("docs"))
     langs = counts.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("lang_total")), "lang", "left")
-    langs = filed(langs.na.fill(0).withColumn("chunks", F.greatest(F.lit(1), F.expr(f"(terms + {CHUNK - 1}) div {CHUNK}"))))
-    chunk = F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk")
-    terms = kept.join(small(langs), "lang").select("lang", "term", "in_lang", chunk)
+    langs = filed(langs.na.fill(0).withColumn("chunks", F.greatest(F.lit(1), F.expr(f"(terms + {chunk - 1}) div {chunk}"))))
+    dealt = F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk")
+    terms = kept.join(small(langs), "lang").select("lang", "term", "in_lang", dealt)
     terms = terms.withColumn("at", (F.row_number().over(W.partitionBy("lang", "chunk").orderBy("term")) - 1).cast("int"))
     used = filed(occurring.select("lang", "source", "term", "n").join(terms, ["lang", "term"]))
 
@@ -150,16 +151,16 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     facts = facts.withColumns({"p": F.expr(share("n", "total", "terms")), "q": F.expr(share("in_lang", "lang_total", "terms"))}).where("p > q")
     facts = facts.select("lang", "source", "chunk", F.col("term").alias("item"), F.expr(gap("p", "q")).alias("value"))
     for keys in (["lang", "source", "chunk"], ["lang", "source"]):
-        facts = facts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"), "item"))).where(F.col("rank") <= TOP)
+        facts = facts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
 
     packs = used.join(small(groups.select("lang", "source", "g")), ["lang", "source"]).groupBy("lang", "g", "chunk").agg(F.collect_list(F.struct("at", "n")).alias("pack"))
-    every = groups.select("lang", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(chunks - 1) div {RUN}"))).alias("run"))
-    every = every.select("lang", "g", (F.col("run") * RUN).alias("chunk"), F.expr("cast(array() as array<struct<at:int,n:bigint>>)").alias("pack"))
+    every = groups.select("lang", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(chunks - 1) div {run}"))).alias("run"))
+    every = every.select("lang", "g", (F.col("run") * run).alias("chunk"), F.expr("cast(array() as array<struct<at:int,n:bigint>>)").alias("pack"))
     packs = packs.unionByName(every).join(small(groups.select("lang", "g", "total", "terms", "groups")), ["lang", "g"])
-    own = F.expr(f"g div {BLOCK}")
-    blocks = packs.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(groups - 1) div {BLOCK}"))))
-    blocks = blocks.select("lang", F.least(own, "_o").alias("low"), F.greatest(own, "_o").alias("high"), F.expr(f"chunk div {RUN}").alias("run"), "chunk", "g", "total", "terms", "pack")
-    tiles = blocks.groupBy("lang", "low", "high", "run").applyInArrow(tile, "lang string, a long, b long, value long, seen long")
+    own = F.expr(f"g div {block}")
+    blocks = packs.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(groups - 1) div {block}"))))
+    blocks = blocks.select("lang", F.least(own, "_o").alias("low"), F.greatest(own, "_o").alias("high"), F.expr(f"chunk div {run}").alias("run"), "chunk", "g", "total", "terms", "pack")
+    tiles = blocks.groupBy("lang", "low", "high", "run").applyInArrow(lambda key, t: tile(key, t, block), "lang string, a long, b long, value long, seen long")
     sums = tiles.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     named = small(groups.select("lang", "g", "source", "total", "terms"))
     for x in "ab":

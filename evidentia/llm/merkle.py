@@ -45,26 +45,26 @@ def _parents(nodes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) + 1) / 2).cast("int") - 1), pair)
 
 
-def tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tree(rows: DataFrame, tier: int = TIER) -> tuple[DataFrame, DataFrame]:
     """The trees over `rows` (tree, idx, n, node), and the way up for each row: (tree, idx, steps) and (tree, root).
 
-    Blocks of 2^TIER neighbours become a table of their nodes, by level and place, and one top. Each row explodes the coordinates of
+    Blocks of 2^tier neighbours become a table of their nodes, by level and place, and one top. Each row explodes the coordinates of
     the siblings that it needs within its block, which follow from idx and n, and joins them with that table; above, the way of
     the block is the way of all its rows, so no node is asked for by more rows than a block has. Tops go through the same.
     steps: from below, the side (1: the row's own node stands on the right) and the sibling, null where a node is alone."""
     most = rows.agg(F.max("n")).first()[0] or 0
     if most <= 1:
         return rows.select("tree", "idx", F.expr("cast(array() as array<struct<side:int,node:string>>)").alias("steps")), rows.select("tree", F.col("node").alias("root"))
-    block, levels = F.shiftright("idx", TIER).alias("block"), F.least(F.lit(TIER), _height(F.col("n"))).alias("levels")
+    block, levels = F.shiftright("idx", tier).alias("block"), F.least(F.lit(tier), _height(F.col("n"))).alias("levels")
     packs = rows.groupBy("tree", "n", block).agg(F.sort_array(F.collect_list(F.struct("idx", "node"))).alias("_own"))
     packs = packs.select("tree", "n", "block", levels, F.transform("_own", lambda x: x["node"]).alias("_0"))
-    for k in range(1, TIER + 1):
+    for k in range(1, tier + 1):
         packs = packs.withColumn(f"_{k}", F.when(F.col("levels") >= k, _parents(F.col(f"_{k - 1}"))))
-    top = F.coalesce(*[F.col(f"_{k}") for k in range(TIER, -1, -1)])[0].alias("top")
-    packs = filed(packs.select("tree", "n", "block", top, *[f"_{k}" for k in range(TIER)]))
-    table = packs.select("tree", "block", F.posexplode(F.array(*[f"_{k}" for k in range(TIER)])).alias("level", "nodes"))
+    top = F.coalesce(*[F.col(f"_{k}") for k in range(tier, -1, -1)])[0].alias("top")
+    packs = filed(packs.select("tree", "n", "block", top, *[f"_{k}" for k in range(tier)]))
+    table = packs.select("tree", "block", F.posexplode(F.array(*[f"_{k}" for k in range(tier)])).alias("level", "nodes"))
     table = table.select("tree", "level", F.posexplode("nodes").alias("at", "node"), "block")
-    table = table.select("tree", "level", F.expr(f"block * shiftleft(1L, {TIER} - level) + at").alias("at"), "node")
+    table = table.select("tree", "level", F.expr(f"block * shiftleft(1L, {tier} - level) + at").alias("at"), "node")
 
     asked = rows.select("tree", "idx", "n", levels).where("levels > 0").select("tree", "idx", "n", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     asked = asked.select("tree", "idx", "level", F.expr("shiftright(idx, level) ^ 1L").alias("at"), F.expr("shiftright(n - 1, level)").alias("last")).where("at <= last")
@@ -73,8 +73,8 @@ def tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.expr("cast(array() as array<struct<side:int,node:string>>)")
     mine = rows.select("tree", "idx", block, levels).join(found, ["tree", "idx"], "left").select("tree", "idx", "block", F.when(F.col("levels") > 0, own).otherwise(none).alias("_own"))
 
-    tops = packs.select("tree", F.col("block").alias("idx"), F.shiftright(F.col("n") + ((1 << TIER) - 1), TIER).alias("n"), F.col("top").alias("node"))
-    above, roots = tree(tops)
+    tops = packs.select("tree", F.col("block").alias("idx"), F.shiftright(F.col("n") + ((1 << tier) - 1), tier).alias("n"), F.col("top").alias("node"))
+    above, roots = tree(tops, tier)
     above = above.select("tree", F.col("idx").alias("block"), F.col("steps").alias("_above"))
     return mine.join(above, ["tree", "block"]).select("tree", "idx", F.concat("_own", "_above").alias("steps")), roots
 
@@ -85,7 +85,7 @@ def fold(leaf: Column, steps: Column) -> Column:
     return F.aggregate(steps, leaf, up)
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", change=None) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", change=None, tier: int = TIER) -> DataFrame:
     """One row per document: id, leaf, changed_leaf, subroot, root, steps (siblings from the leaf to the root, see `tree`).
 
     A leaf is the digest of the fields, each with its size before it. Leaves of a group stand by id (null first), ties by their
@@ -106,10 +106,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     key = F.coalesce(F.concat(F.lit("="), "grp"), F.lit("-"))
     known = leaves.withColumn("_k", key).join(small(groups.select(key.alias("_k"), "start", "n", "tree")), "_k")
     placed = filed(known.select("id", "leaf", "changed", "tree", (F.col("place") - F.col("start")).alias("idx"), "n"))
-    steps, subroots = tree(placed.select("tree", "idx", "n", F.col("leaf").alias("node")))
+    steps, subroots = tree(placed.select("tree", "idx", "n", F.col("leaf").alias("node")), tier)
     subroots = filed(subroots)
     count = groups.count()
-    above, root = tree(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(count).cast("long").alias("n"), F.col("root").alias("node")))
+    above, root = tree(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(count).cast("long").alias("n"), F.col("root").alias("node")), tier)
     tops = subroots.select("tree", F.col("root").alias("subroot")).join(above.select(F.col("idx").alias("tree"), F.col("steps").alias("_above")), "tree").crossJoin(F.broadcast(root.select("root")))  # one row
     out = placed.join(steps, ["tree", "idx"]).join(small(filed(tops), count), "tree")
     return out.select("id", "leaf", F.coalesce("changed", "leaf").alias("changed_leaf"), "subroot", "root", F.concat("steps", "_above").alias("steps"))
