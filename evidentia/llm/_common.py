@@ -89,6 +89,18 @@ def released(run):
     return whole
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 500):
+    """Within it, Arrow batches have `rows` rows at most, for steps over whole texts that are run (saved or filed) there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(docs: DataFrame, *names: str) -> tuple:
     """`docs` with columns named by their places, which clash with no name used inside, and the new names of `names`."""
     new, old = [f"_column{k}" for k in range(len(docs.columns))], [c.lower() for c in docs.columns]

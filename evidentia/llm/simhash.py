@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._common import filed, numbered, released, small
+from evidentia.llm._common import filed, numbered, released, short_batches, small
 from evidentia.llm.ngram_join import components
 
 WIDTH, DISTANCE, SEED = 3, 2, 42
@@ -71,18 +71,18 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(BYTES))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, long: int = LONG) -> DataFrame:
     """(a, b): edges between distinct fingerprints `prints` (fp) by which those at `DISTANCE` or fewer bits reach each other; all
     edges are such links.
 
-    Each fingerprint stands in nine postings. In one of up to LONG, each pair's shared positional bytes are tallied; pairs with six
+    Each fingerprint stands in nine postings. In one of up to `long`, each pair's shared positional bytes are tallied; pairs with six
     are verified bit by bit. Pairs of a longer posting would grow with its square; there two fingerprints link when, and only when,
     some point is at one bit or none from both, so each is joined to the least one at each of its points outside the key."""
     keys = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for k, p in enumerate(KEYS)])
     index = prints.select("fp", F.inline(keys))
     sizes = index.groupBy("slot", "key").agg(F.count("*").alias("size")).where("size > 1")
     postings = filed(index.join(sizes, ["slot", "key"]))
-    short = postings.where(F.col("size") <= LONG)
+    short = postings.where(F.col("size") <= long)
     a, b = (short.select("slot", "key", F.col("fp").alias(x)) for x in "ab")
     tally, differ = shared_bytes(F.col("a"), F.col("b")), F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     on = (a["slot"] == b["slot"]) & (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (tally >= LEAST_SHARED) & (differ <= DISTANCE)
@@ -90,22 +90,23 @@ def links(prints: DataFrame) -> DataFrame:
 
     free = F.array(*[F.array(*[F.lit(8 * p + bit) for p in range(BYTES) if p not in own for bit in range(8)]) for own in KEYS])
     bits = F.concat(F.array(F.lit(-1)), F.element_at(free, F.col("slot") + 1))
-    long = postings.where(F.col("size") > LONG).select("fp", F.explode(bits).alias("bit")).distinct()
-    points = long.select("fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("point"))
+    hot = postings.where(F.col("size") > long).select("fp", F.explode(bits).alias("bit")).distinct()
+    points = hot.select("fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
     stars = points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b")).where(differ <= DISTANCE)
     return pairs.union(stars).distinct()
 
 
-def simhash_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable by links).
 
     Null and empty texts have no words and the fingerprint 0, which links like any other. Equal fingerprints are one from the
     start, however many documents have them. Null ids count for nothing unless a component has no other; repeated rows and ids are rows of
     their own; other columns, whatever their names, are left aside."""
-    facts = filed(fingerprints(docs, width, id_col, text_col))
+    with short_batches(docs.sparkSession):
+        facts = filed(fingerprints(docs, width, id_col, text_col))
     prints = filed(facts.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
-    edges = filed(links(prints.select("fp")))
+    edges = filed(links(prints.select("fp"), long))
     found = components(edges).select(F.col("v").alias("fp"), "c")
     ids = filed(prints.join(found, "fp", "left").where("rows > 1 OR c IS NOT NULL").select("fp", "low", F.coalesce("c", "fp").alias("c")))
     lows = ids.groupBy("c").agg(F.min("low").alias("component_id"))
