@@ -41,9 +41,9 @@ def char_ngrams(c: Column, n: int) -> Column:
     return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), grams)
 
 
-def word_ngrams(c: Column, least: int = 1) -> Column:
-    """Words and pairs of neighbouring words of lower-cased text; words of `least` characters at least."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{%d,}" % least), F.lit(0))
+def word_ngrams(c: Column, least: int = 1, lower: bool = True) -> Column:
+    """Words and pairs of neighbouring words; words of `least` characters at least."""
+    words = F.regexp_extract_all(F.lower(c) if lower else c, F.lit(r"[\p{L}\p{N}_]{%d,}" % least), F.lit(0))
     pairs = F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
     return F.concat(words, pairs)
 

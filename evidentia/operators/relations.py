@@ -96,16 +96,21 @@ def star_edges(rows: DataFrame, key: Column, row: str = "row_idx") -> DataFrame:
     return t.join(first, "_key").where("src != dst").select("src", "dst")
 
 
+def checkpoint_folder(spark) -> str:
+    """The folder that the cluster shares; one is made only where the session names none, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def components(nodes: DataFrame, edges: DataFrame, row: str = "row_idx") -> DataFrame:
     """(row, root): the least row that each reaches. Labels pass along edges, then to the label's own label, each round written
     as Parquet to the session's checkpoint folder, until nothing changes."""
     spark = nodes.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
     def filed(df: DataFrame) -> DataFrame:
-        path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.parquet(path)
 

@@ -530,3 +530,6 @@ def cross_fitted_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["ctx_present", "word_overlap_ratio", "numbers_supported", "number_overlap_ratio", "has_numbers_in_response", "is_substring", "response_len_chars", "context_len_chars"]
     scored = models.cross_fit(rows.join(folds.stratified_folds(rows, 5, 42).select("row_idx", "fold"), "row_idx"), columns, 5)
     return scored.select("row_idx", "label", "fold", F.col("p").alias("p1"), (1 - F.col("p")).alias("p0"))
+
+
+from evidentia.plans import modeling  # noqa: E402,F401  (its queries register here)

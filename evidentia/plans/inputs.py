@@ -12,15 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labeled rows: a document's first line as prompt, a last line (of every third row, the next document's) as response."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    t = docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_idx"), "text", "source", F.col("quality").alias("label"), F.split("text", "\n", -1).alias("ls"))
-    nexts = t.select((F.col("row_idx") - 1).alias("row_idx"), F.element_at("ls", -1).alias("next"))
-    t = t.join(nexts, "row_idx", "left")
-    last, m = F.element_at("ls", -1), F.col("row_idx")
-    n = F.substring("source", 4, 9).cast("int")
-    return t.select(
-        "row_idx", F.col("ls")[0].alias("prompt"), F.when(m % 3 == 0, F.coalesce("next", last)).otherwise(last).alias("response"),
-        F.when((m % 5).isin(0, 1), F.lit(None)).when(m % 5 == 2, "[NULL]").otherwise(F.col("text")).alias("context"), "label", "source",
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_idx"), F.col("quality").alias("label"))
+    # Lines and contexts are cut where a document is read; only rows that show their text as context move it, once.
+    m, n = F.col("doc_id"), F.substring("source", 4, 9).cast("int")
+    context = F.when((m % 5).isin(0, 1), F.lit(None)).when(m % 5 == 2, "[NULL]").otherwise(F.col("text"))
+    lines = docs.select(m.alias("row_idx"), F.substring_index("text", "\n", 1).alias("prompt"), F.substring_index("text", "\n", -1).alias("last"), context.alias("context"), "source", n.alias("n"))
+    nexts = docs.select(m.alias("row_idx"), F.substring_index("text", "\n", -1).alias("next")).join(labels.select("row_idx"), "row_idx").select((F.col("row_idx") - 1).alias("row_idx"), "next")
+    m, n, last = F.col("row_idx"), F.col("n"), F.col("last")
+    return lines.join(labels, "row_idx").join(nexts, "row_idx", "left").select(
+        "row_idx", "prompt", F.when(m % 3 == 0, F.coalesce("next", last)).otherwise(last).alias("response"), "context", "label", "source",
         F.when(n <= 13, "public_train").when(n <= 16, "public_validation").otherwise("official").alias("partition"),
         ((m * 7919) % 1000 / F.lit(1000.0)).alias("p_e0"), ((m * 104729) % 1000 / F.lit(1000.0)).alias("p_e1"),
     )
