@@ -96,6 +96,15 @@ def star_edges(rows: DataFrame, key: Column, row: str = "row_idx") -> DataFrame:
     return t.join(first, "_key").where("src != dst").select("src", "dst")
 
 
+#: The largest number of rows of a few short columns that is broadcast (about 50 MB).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it is counted to have few rows; else joins shuffle it. Give a table that is written already."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def checkpoint_folder(spark) -> str:
     """The folder that the cluster shares; one is made only where the session names none, as in tests."""
     sc = spark.sparkContext
