@@ -142,9 +142,21 @@ def duplicate_groups(rows: DataFrame, context_rule: str = "v4a") -> DataFrame:
     return components(t, star_edges(t, F.col("exact")).union(star_edges(t, F.col("pair"))))
 
 
+def numbered_by(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with their places, from 0, in `order`. Rows are dealt out by ranges of the order and numbered where they lie; only a count
+    for each part meets in one place."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).write.parquet(path)
+    parts = rows.sparkSession.read.parquet(path)
+    starts = parts.groupBy("_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # a row for each part
+    starts = starts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_shift"))
+    return parts.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def group_ids(groups: DataFrame, prefix: str = "group-") -> DataFrame:
-    """(row_idx, group_id): groups numbered by their first rows. The window runs over the groups, a row each."""
-    roots = groups.select("root").distinct().withColumn("_n", F.row_number().over(W.orderBy("root")) - 1)
+    """(row_idx, group_id): groups numbered by their first rows."""
+    roots = numbered_by(groups.select("root").distinct(), ["root"], "_n")
     return groups.join(roots, "root").select("row_idx", F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("group_id"))
 
 

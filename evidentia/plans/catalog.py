@@ -532,4 +532,4 @@ def cross_fitted_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_idx", "label", "fold", F.col("p").alias("p1"), (1 - F.col("p")).alias("p0"))
 
 
-from evidentia.plans import modeling  # noqa: E402,F401  (its queries register here)
+from evidentia.plans import evidence, modeling  # noqa: E402,F401  (their queries register here)
