@@ -92,26 +92,20 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, id_col: str =
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "text_md5", "epochs", "part")
 
 
-def mixture(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None) -> DataFrame:
-    """The mix itself, in the columns of `docs`: a document once for each whole pass, once more if the fractional pass takes
-    it whole, and its first words, joined by spaces, where that pass ends inside it (`length_col` then gets the new length).
-    Any column names will do."""
+def mixture(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, in the columns of `docs`, of whole documents: one row for each whole pass, and one more if the fractional
+    pass takes half of the document's words or more. So of each source one document at most, that in which its target ends, has
+    up to half its words more or less than `mix_sources` takes. Any column names will do."""
     verdicts = mix_sources(docs, labels, id_col, text_col, source_col)
-    verdicts = saved(verdicts.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "epochs", "part", "size").where("size > 0 and epochs + part > 0"))
+    copies = F.col("epochs") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    verdicts = saved(verdicts.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), copies.alias("_copies")).where("_copies > 0"))
     # Rows alike in id and text may differ in what the fractional pass takes; each of them is matched with one verdict.
-    nth = F.row_number().over(W.partitionBy("_id", "_md5").orderBy(F.desc("part")))
+    nth = F.row_number().over(W.partitionBy("_id", "_md5").orderBy(F.desc("_copies")))
     repeated = not verdicts.groupBy("_id", "_md5").count().where("count > 1").isEmpty()
     verdicts = verdicts.withColumn("_nth", nth if repeated else F.lit(1))
-    rows, own_id, own_text, *own_length = numbered(docs, id_col, text_col, *[length_col] * bool(length_col))
+    rows, own_id, own_text = numbered(docs, id_col, text_col)
     keyed = rows.withColumn("_text_md5", F.md5(F.col(own_text)))
     same = F.row_number().over(W.partitionBy(own_id, "_text_md5").orderBy(F.lit(1)))
     keyed = keyed.withColumn("_row", same if repeated else F.lit(1))
     taken = keyed.join(small(verdicts), keyed[own_id].eqNullSafe(F.col("_id")) & keyed["_text_md5"].eqNullSafe(F.col("_md5")) & (F.col("_row") == F.col("_nth")))
-    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    copies = F.col("epochs") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)
-    whole = taken.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    words = F.slice(F.regexp_extract_all(F.col(own_text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int"))
-    partial = taken.where(cut).withColumn(own_text, F.array_join(words, " "))
-    for length in own_length:
-        partial = partial.withColumn(length, F.length(own_text).cast(rows.schema[length].dataType))
-    return whole.select(*rows.columns).unionByName(partial.select(*rows.columns)).toDF(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*rows.columns).toDF(*docs.columns)

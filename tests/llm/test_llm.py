@@ -312,7 +312,15 @@ def test_mixing(docs, spark):
         assert abs(taken[sizes[s]] - target[s]) <= 1
     same(mixing.mix_sources(docs.repartition(5), labels).collect(), [tuple(r) for r in rows])
     mixed = mixing.mixture(docs, labels)
-    assert mixed.columns == docs.columns and sum(len(split(r.text)) for r in mixed.collect()) == sum(taken.values())
+    held, given, longest = Counter(), Counter((r[0], r[1], r[3]) for r in ROWS), Counter()
+    for r in ROWS:
+        longest[r[3]] = max(longest[r[3]], len(split(r[1])))
+    for r in mixed.collect():
+        assert given[r.doc_id, r.text, r.source]  # whole, with its lines
+        held[r.source] += len(split(r.text))
+    assert mixed.columns == docs.columns
+    for s in sizes:
+        assert abs(held[s] - target[s]) <= longest[s] / 2 + 1
 
 
 def test_exact_dedup(docs):
