@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from evidentia.llm._common import shared_folder, table
+from evidentia.llm._common import filed, shared_folder, short_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,19 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share four fifths of their five-word shingles, that of the least id."""
-    return ngram_join.one_of_each(docs, width=5, percent=80)
+    with short_batches(spark):
+        return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources: documents repeated, left out or, one for each source, cut as the targets demand."""
-    return mixing.mixture(docs, table(spark, sf_dir, "labels"), length_col="n_chars" if "n_chars" in docs.columns else None)
+    """The mixture of sources: whole documents, repeated or left out as the targets demand."""
+    return mixing.mixture(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mixture, with digests of the ids and of the text decoded from them."""
-    return bpe.bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("ids",))
+    with short_batches(spark):
+        return filed(bpe.bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("ids",)))
 
 
 STAGES = [("language", language), ("copies", copies), ("near_copies", near_copies), ("mixture", mixture), ("encode", encode)]
