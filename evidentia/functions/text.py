@@ -30,13 +30,14 @@ BENGALI_DIGITS = ("০১২৩৪৫৬৭৮৯", "0123456789")
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition; ASCII text, which it never changes, stays in the JVM."""
+    """Canonical composition. ASCII text, which it never changes, is not sent to Python."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
-    return compose(c)
+    ascii_only = c.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(ascii_only, c).otherwise(compose(F.when(~ascii_only, c)))
 
 
 def nfkc(c: Column) -> Column:
@@ -123,6 +124,53 @@ def head_tail(tokens: Column, limit: int, ratio: float = 0.5) -> Column:
     return F.when(F.size(tokens) <= limit, tokens).otherwise(F.concat(F.slice(tokens, 1, head), F.slice(tokens, -(limit - head), limit - head)))
 
 
+def prepared(prompt: Column, context: Column, response: Column, present: Column, layout: str) -> Column:
+    """(a, b) of one of three layouts: `compatible` (both parts marked, with a flag), `structured` (an absent context is [NULL]) and `routed`
+    (other markers, and no context part where it is absent)."""
+    if layout == "compatible":
+        return transformer_pair(prompt, F.when(present, context).otherwise(""), response)
+    question = F.concat(F.lit("[QUESTION]\n"), prompt)
+    if layout == "structured":
+        return F.struct(F.concat(question, F.lit("\n\n[CONTEXT]\n"), F.when(present, context).otherwise("[NULL]")).alias("a"), F.concat(F.lit("[ANSWER]\n"), response).alias("b"))
+    if layout == "routed":
+        return F.struct(F.when(present, F.concat(question, F.lit("\n\n[EVIDENCE]\n"), context)).otherwise(question).alias("a"), F.concat(F.lit("[CLAIM]\n"), response).alias("b"))
+    raise ValueError(f"no layout {layout!r}")
+
+
+def markers(present: Column, layout: str) -> tuple[Column, Column, Column]:
+    """What stands before prompt, context and response in a layout."""
+    if layout == "compatible":
+        flag = F.when(present, "1").otherwise("0")
+        return F.lit("[PROMPT]\n"), F.concat(F.lit("\n\n[CONTEXT_PRESENT]\n"), flag, F.lit("\n\n[CONTEXT]\n")), F.lit("[RESPONSE]\n")
+    if layout == "structured":
+        return F.lit("[QUESTION]\n"), F.concat(F.lit("\n\n[CONTEXT]\n"), F.when(present, "").otherwise("[NULL]")), F.lit("[ANSWER]\n")
+    if layout == "routed":
+        return F.lit("[QUESTION]\n"), F.when(present, F.lit("\n\n[EVIDENCE]\n")).otherwise(""), F.lit("[CLAIM]\n")
+    raise ValueError(f"no layout {layout!r}")
+
+
+def head_tail_within(tokens: Column, limit: Column, ratio: float = 0.5) -> Column:
+    """As `head_tail`, with a limit for each row; none where it is 0 or less."""
+    head = F.bround(limit * ratio).cast("int")
+    cut = F.concat(F.slice(tokens, F.lit(1), head), F.when(limit > head, F.slice(tokens, head - limit, limit - head)).otherwise(F.slice(tokens, F.lit(1), F.lit(0))))
+    return F.when(limit <= 0, F.slice(tokens, F.lit(1), F.lit(0))).when(F.size(tokens) <= limit, tokens).otherwise(cut)
+
+
+def field_budget(prompt: Column, context: Column, response: Column, present: Column, layout: str, tokenize, maximum: int = 256, prompt_tokens: int = 80, response_tokens: int = 96, special: int = 3, ratio: float = 0.5) -> Column:
+    """(a, b, prompt_original, prompt_retained, context_original, ...): the tokens of both parts within `maximum`, special ones counted. Prompt
+    and response are cut to their budgets, head and tail; the context gets all that is left. tokenize: from a text column to an
+    array of tokens. Raises where the markers leave less than both budgets."""
+    before = [tokenize(m) for m in markers(present, layout)]
+    capacity = F.lit(maximum - special) - sum(F.size(m) for m in before)
+    p, r = tokenize(prompt), tokenize(response)
+    c = F.when(present, tokenize(context)).otherwise(F.slice(tokenize(prompt), F.lit(1), F.lit(0)))
+    kept_p, kept_r = head_tail_within(p, F.lit(prompt_tokens)), head_tail_within(r, F.lit(response_tokens))
+    kept_c = head_tail_within(c, capacity - F.size(kept_p) - F.size(kept_r), ratio)
+    a = F.concat(before[0], kept_p, before[1], F.when(capacity < prompt_tokens + response_tokens, F.raise_error(F.lit("the budgets do not fit"))).otherwise(kept_c))
+    sizes = [F.size(x).alias(f"{n}_{k}") for n, o, kept in (("prompt", p, kept_p), ("context", c, kept_c), ("response", r, kept_r)) for k, x in (("original", o), ("retained", kept))]
+    return F.struct(a.alias("a"), F.concat(before[2], kept_r).alias("b"), *sizes)
+
+
 def remove_terminal_escapes(c: Column) -> Column:
     return F.regexp_replace(c, r"\x{1B}\[((?:\d|;)*)([a-zA-Z])", "")
 

@@ -59,3 +59,49 @@ def partition_overlaps(rows: DataFrame, by: str, key: str) -> DataFrame:
 
 def not_finite(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in columns])
+
+
+TEST_COLUMNS = ("id", "context", "prompt_bn", "response_bn")
+
+
+def test_frame(rows: DataFrame) -> DataFrame:
+    """Of unlabelled rows: other columns or another order, ids missing or repeated, texts missing, and emptiness."""
+    wrong = int(tuple(rows.columns) != TEST_COLUMNS)
+    repeats = rows.groupBy("id").count().where("id IS NOT NULL AND count > 1").agg(F.count("*").alias("repeated_ids"))
+    return rows.agg(
+        F.lit(wrong).alias("wrong_columns"), F.count_if(F.col("id").isNull()).alias("null_ids"), F.count_if(F.col("prompt_bn").isNull()).alias("null_prompts"),
+        F.count_if(F.col("response_bn").isNull()).alias("null_responses"), (F.count("*") == 0).cast("int").alias("empty")).crossJoin(repeats)  # one row each
+
+
+def fold_assignments(folds: DataFrame, ids: DataFrame, seeds: tuple[int, ...], k: int, key: str = "row_idx") -> DataFrame:
+    """Of (seed, fold, key, label, root): seeds missing or unknown, rows repeated, missing or unknown in a seed, folds that a seed lacks,
+    folds with one label, and families in more than one fold of a seed."""
+    by_seed = folds.groupBy("seed").agg(F.countDistinct("fold").alias("folds"))
+    wanted = folds.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")
+    seeds_ = wanted.join(by_seed, "seed", "full").agg(F.count_if(F.col("folds").isNull()).alias("missing_seeds"), F.count_if(~F.col("seed").isin(*seeds)).alias("unknown_seeds"), F.sum(F.abs(F.lit(k) - F.coalesce("folds", F.lit(0)))).alias("other_folds"))
+    repeats = folds.groupBy("seed", key).count().where("count > 1").agg(F.count("*").alias("repeated"))
+    want = folds.select("seed").distinct().crossJoin(ids.select(key).distinct())  # a few seeds
+    missing = want.join(folds.select("seed", key).distinct(), ["seed", key], "left_anti").agg(F.count("*").alias("missing"))
+    unknown = folds.join(ids.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("unknown"))
+    labels = folds.groupBy("seed", "fold").agg(F.countDistinct("label").alias("n")).agg(F.count_if(F.col("n") < 2).alias("one_label_folds"))
+    split = folds.groupBy("seed", "root").agg(F.countDistinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split_groups"))
+    return seeds_.crossJoin(repeats).crossJoin(missing).crossJoin(unknown).crossJoin(labels).crossJoin(split)  # one row each
+
+
+def partition_safety(rows: DataFrame, by: str, text_key: str, protected: str) -> DataFrame:
+    """What must not be: texts of the partition `protected` in others, and texts with unlike labels, within a partition or across."""
+    each = rows.groupBy(text_key).agg(F.max((F.col(by) == protected).cast("int")).alias("_in"), F.max((F.col(by) != protected).cast("int")).alias("_out"), F.countDistinct("label").alias("_labels"))
+    return each.agg(F.count_if((F.col("_in") == 1) & (F.col("_out") == 1)).alias("shared_with_protected"), F.count_if(F.col("_labels") > 1).alias("conflicting_texts"))
+
+
+def fold_artifact(rows: DataFrame, folds: DataFrame, key: str = "row_idx") -> DataFrame:
+    """Of out-of-fold rows (seed, fold, key, label, p0, p1) against the folds (seed, fold, key, label): rows that the folds lack, rows
+    missing, in another fold, or with another label, repeated keys and probabilities that are none."""
+    a = rows.select("seed", key, F.col("fold").alias("_f"), F.col("label").alias("_l"), F.lit(1).alias("_a"))
+    both = a.join(folds.select("seed", key, "fold", "label", F.lit(1).alias("_b")), ["seed", key], "full")
+    here = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    out = both.agg(F.count_if(F.col("_b").isNull()).alias("unknown"), F.count_if(F.col("_a").isNull()).alias("missing"), F.count_if(here & (F.col("_f") != F.col("fold"))).alias("misplaced"), F.count_if(here & ~F.col("_l").eqNullSafe(F.col("label"))).alias("other_labels"))
+    repeats = rows.groupBy("seed", key).count().where("count > 1").agg(F.count("*").alias("repeated"))
+    bad = lambda p: F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1)
+    values = rows.agg(F.count_if(bad("p0") | bad("p1") | (F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9)).alias("bad_probabilities"))
+    return out.crossJoin(repeats).crossJoin(values)  # one row each

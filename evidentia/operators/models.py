@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.errors import DataValidationError
+
 
 def standardizer(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation (1 where it is 0) of each column of the training rows."""
@@ -33,6 +35,8 @@ class BalancedLogistic:
         rows = self._vectors(train).withColumn("_w", weight).withColumn("_y", F.col("label").cast("double"))
         model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (self.c * total), elasticNetParam=0.0, standardization=False, maxIter=self.max_iter, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred")
         self.model = model.fit(rows)
+        if set(counts) != {0, 1}:
+            raise DataValidationError(f"labels {sorted(counts)} where 0 and 1 are needed")
         return self
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ class BalancedLogistic:
         return VectorAssembler(inputCols=inner, outputCol="_x").transform(t).drop(*inner)
 
     def predict(self, rows: DataFrame, name: str = "p") -> DataFrame:
-        """`rows` with the probability of label 1."""
+        """`rows` with the probability of label 1; `fit` has seen to it that the model's classes are the labels 0 and 1."""
         scored = self.model.transform(self._vectors(rows))
         return scored.withColumn(name, vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
 

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from evidentia.functions import text as X
 from evidentia.functions import tokens as T
 from evidentia.operators import audits, features, folds, metrics, models, relations, vectors
-from evidentia.plans.inputs import FIXTURE_SQL, QA, WHOLE_SQL, fixture, qa, table, whole
+from evidentia.operators import retrieval as search
+from evidentia.operators.sparse import Spec, filed
+from evidentia.plans.inputs import QA, WHOLE_SQL, qa, table, whole
 from evidentia.sources import sinks, tables
 
 QUERIES = {}
@@ -67,12 +69,7 @@ def _context_predicates(rows: DataFrame) -> DataFrame:
     return rows.select("row_idx", *[X.is_absent(F.col("context"), r).alias(r) for r in rules])
 
 
-@query(f"WITH {FIXTURE_SQL} SELECT row_idx, {', '.join(f'{absent_('context', r)} AS {r}' for r in X.ABSENT)}, (context IS NULL OR {strip_('context')} IN {list_(X.STARTER_ABSENT)}) AS starter FROM fx")
-def context_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _context_predicates(fixture(spark))
-
-
-@query(ORACLE["context_predicates"].replace(FIXTURE_SQL, WHOLE_SQL))
+@query(f"WITH {WHOLE_SQL} SELECT row_idx, {', '.join(f'{absent_('context', r)} AS {r}' for r in X.ABSENT)}, (context IS NULL OR {strip_('context')} IN {list_(X.STARTER_ABSENT)}) AS starter FROM fx")
 def context_predicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _context_predicates(whole(spark, sf_dir))
 
@@ -93,12 +90,7 @@ def _normalized_v5(rows: DataFrame) -> DataFrame:
     return rows.select("row_idx", c.alias("context_v5"), r.alias("response_v5"), X.strip_punctuation(c).alias("bare"), X.compact(c).alias("compact"), X.normalize_numbers(F.col("response")).alias("numbers"))
 
 
-@query(f"WITH {FIXTURE_SQL} SELECT row_idx, {v5_('context')} AS context_v5, {v5_('response')} AS response_v5, {punct_(v5_('context'))} AS bare, {compact_(v5_('context'))} AS compact, {nums_('response')} AS numbers FROM fx")
-def normalized_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalized_v5(fixture(spark))
-
-
-@query(ORACLE["normalized_v5"].replace(FIXTURE_SQL, WHOLE_SQL))
+@query(f"WITH {WHOLE_SQL} SELECT row_idx, {v5_('context')} AS context_v5, {v5_('response')} AS response_v5, {punct_(v5_('context'))} AS bare, {compact_(v5_('context'))} AS compact, {nums_('response')} AS numbers FROM fx")
 def normalized_v5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalized_v5(whole(spark, sf_dir))
 
@@ -129,12 +121,7 @@ def _repaired_text(rows: DataFrame) -> DataFrame:
     return rows.select("row_idx", X.remove_terminal_escapes(F.col("response")).alias("plain"), X.fix_line_breaks(F.col("context")).alias("lines"))
 
 
-@query(rf"WITH {FIXTURE_SQL} SELECT row_idx, regexp_replace(response, '\x{{1B}}\[((?:\d|;)*)([a-zA-Z])', '', 'g') AS plain, regexp_replace(context, '\r\n?|[\x{{2028}}\x{{2029}}\x{{85}}]', chr(10), 'g') AS lines FROM fx")
-def repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired_text(fixture(spark))
-
-
-@query(ORACLE["repaired_text"].replace(FIXTURE_SQL, WHOLE_SQL))
+@query(rf"WITH {WHOLE_SQL} SELECT row_idx, regexp_replace(response, '\x{{1B}}\[((?:\d|;)*)([a-zA-Z])', '', 'g') AS plain, regexp_replace(context, '\r\n?|[\x{{2028}}\x{{2029}}\x{{85}}]', chr(10), 'g') AS lines FROM fx")
 def repaired_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired_text(whole(spark, sf_dir))
 
@@ -147,12 +134,7 @@ def _tokenised(rows: DataFrame) -> DataFrame:
     return rows.select("row_idx", F.array_join(F.array_sort(T.token_set(c)), "|").alias("token_set"), F.array_join(F.array_sort(T.number_set(r)), "|").alias("numbers"), F.array_join(T.tokens(c), "|").alias("tokens"), F.array_join(T.numerals(T.tokens(c)), "|").alias("numerals"))
 
 
-@query(f"WITH {FIXTURE_SQL}, c AS (SELECT row_idx, coalesce(context, '') AS c, response AS r FROM fx) SELECT row_idx, array_to_string(list_sort({set_('c')}), '|') AS token_set, array_to_string(list_sort({numset_('r')}), '|') AS numbers, array_to_string({toks_('c')}, '|') AS tokens, array_to_string({numerals_(toks_('c'))}, '|') AS numerals FROM c")
-def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokenised(fixture(spark))
-
-
-@query(ORACLE["tokenised"].replace(FIXTURE_SQL, WHOLE_SQL))
+@query(f"WITH {WHOLE_SQL}, c AS (SELECT row_idx, coalesce(context, '') AS c, response AS r FROM fx) SELECT row_idx, array_to_string(list_sort({set_('c')}), '|') AS token_set, array_to_string(list_sort({numset_('r')}), '|') AS numbers, array_to_string({toks_('c')}, '|') AS tokens, array_to_string({numerals_(toks_('c'))}, '|') AS numerals FROM c")
 def tokenised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokenised(whole(spark, sf_dir))
 
@@ -482,30 +464,48 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tfidf(spark, sf_dir)[2].groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("largest"))
 
 
-@query(f"""WITH {_TFIDF}, qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL), qw AS (SELECT item_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS w FROM qt JOIN v USING (term)),
-s AS (SELECT item_id, dw.id AS doc, round(sum(qw.w * dw.w), 12) AS similarity FROM qw JOIN dw USING (term) GROUP BY ALL) SELECT item_id, doc, round(similarity, 6) AS similarity, similarity >= 0.25 AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc) = 1""")
+_TERMS1 = _TFIDF.replace(" HAVING count(*) >= 2", "")
+
+
+@query(f"""WITH {_TERMS1}, qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL), qw AS (SELECT item_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item_id)) AS w FROM qt JOIN v USING (term)),
+s AS (SELECT item_id, dw.id AS doc, round(sum(qw.w * dw.w), 12) AS similarity FROM qw JOIN dw USING (term) GROUP BY ALL), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc) = 1)
+SELECT item_id, coalesce(doc, (SELECT min(doc_id) FROM documents)) AS doc, round(coalesce(similarity, 0), 6) AS similarity, coalesce(similarity, 0) >= 0.25 AS accepted FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN best USING (item_id)""")
 def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, vocab, index = _tfidf(spark, sf_dir)
-    asked = vectors.weights(vectors.term_counts(table(spark, sf_dir, "benchmark"), "item_id", words("text")), vocab, "item_id")
-    found = vectors.retrieve(asked, index.withColumnRenamed("doc_id", "doc"), 0, "item_id")
-    return found.select("item_id", "doc", F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= 0.25).alias("accepted"))
+    """The document most like each benchmark item by its words; an item without a known word gets the first document, at 0."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    words = Spec("word", 1, 1, lower=True, sublinear=False)
+    split = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    counts = filed(vectors.term_counts(docs, "doc_id", split("text")).withColumnRenamed("doc_id", "doc"))
+    vocab = filed(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(1.0 + docs.count()) / (1.0 + F.col("df"))) + 1.0))
+    index = filed(search.unit(counts, vocab, "doc", words))
+    asked = search.unit(vectors.term_counts(items, "item_id", split("text")), vocab, "item_id", words)
+    asked = filed(asked.join(vocab.select("term", "df"), "term").join(index.groupBy("term").agg(F.max("w").alias("most")), "term"))
+    found = search.best_matches(asked, index, filed(index.groupBy("doc").agg(F.collect_list(F.struct("term", "w")).alias("terms"))), "item_id")
+    first = docs.agg(F.min("doc_id").alias("first"))
+    out = items.select("item_id").distinct().join(found, "item_id", "left").crossJoin(F.broadcast(first))  # one row
+    similarity = F.coalesce("similarity", F.lit(0.0))
+    return out.select("item_id", F.coalesce("doc", "first").alias("doc"), F.round(similarity, 6).alias("similarity"), (similarity >= 0.25).alias("accepted"))
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, md5(x) AS h FROM documents), d AS (SELECT h, min(doc_id) AS doc_id, count(*) AS copies, any_value(x) AS x, length(x) AS n FROM t GROUP BY h, length(x)), """ + WB_SQL.replace("row_idx", "doc_id").format(c=collapse_("x"), t="d", low=3, high=5) + """,
+c AS (SELECT doc_id, term, count(*) AS tf FROM wb GROUP BY ALL), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + sum(copies))) + 1.0 AS idf FROM c JOIN d USING (doc_id) GROUP BY term),
+u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS y, y / sqrt(sum(y * y) OVER (PARTITION BY doc_id)) AS w FROM c JOIN v USING (term)),
+p AS (SELECT a.doc_id AS l, b.doc_id AS r FROM d a JOIN d b ON a.doc_id < b.doc_id AND least(greatest(a.n, 1), greatest(b.n, 1)) >= 0.9 * greatest(a.n, b.n, 1))
+SELECT l, r, round(sum(a.w * b.w), 6) AS similarity FROM p JOIN u a ON a.doc_id = l JOIN u b ON b.doc_id = r AND b.term = a.term GROUP BY l, r HAVING sum(a.w * b.w) >= 0.97
+UNION ALL SELECT d.doc_id, t.doc_id, 1.0 FROM t JOIN d USING (h) WHERE t.doc_id > d.doc_id AND regexp_matches(t.x, '[^ \\t\\n\\r\\f\\x0B]')""")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: pairs of unlike texts by their least rows, and each text's least row with its copies."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.near_classes(docs).select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), """ + WB_SQL.replace("row_idx", "doc_id").format(c=collapse_("text"), t="t", low=3, high=3) + """,
 c AS (SELECT doc_id, term, count(*) AS tf FROM wb GROUP BY ALL), s AS (SELECT doc_id % 2 AS side, doc_id, term, tf FROM c), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term),
 u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS x, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM c JOIN v USING (term))
 SELECT a.doc_id AS l, b.doc_id AS r, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b USING (term) JOIN t x ON x.doc_id = a.doc_id JOIN t y ON y.doc_id = b.doc_id
-WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND least(x.n, y.n) >= 0.9 * greatest(x.n, y.n) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.97""")
-def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    left, right = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("l"), "text"), docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("r"), "text")
-    found = vectors.near_duplicates(left, right, T.char_wb_ngrams(F.col("text"), 3, 3))
-    return found.select("l", "r", F.round("similarity", 6).alias("similarity"))
-
-
-@query(ORACLE["near_duplicates"].replace("a.doc_id % 2 = 0 AND b.doc_id % 2 = 1", "a.doc_id < b.doc_id"))
+WHERE a.doc_id < b.doc_id AND least(x.n, y.n) >= 0.9 * greatest(x.n, y.n) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.97""")
 def near_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the table, l < r; `near_duplicates` is bound by its SQL to those of an even and an odd id."""
+    """All pairs of the table, l < r, those of copies too, by n-grams of one length."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l"), "text")
     found = vectors.near_duplicates(docs, None, T.char_wb_ngrams(F.col("text"), 3, 3))
     return found.select("l", "r", F.round("similarity", 6).alias("similarity"))
@@ -532,4 +532,4 @@ def cross_fitted_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_idx", "label", "fold", F.col("p").alias("p1"), (1 - F.col("p")).alias("p0"))
 
 
-from evidentia.plans import evidence, modeling  # noqa: E402,F401  (their queries register here)
+from evidentia.plans import evidence, inputs_for_models, modeling  # noqa: E402,F401  (their queries register here)
