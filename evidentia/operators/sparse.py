@@ -373,3 +373,34 @@ def fold_scopes(folds: DataFrame, key: str = "row_idx") -> DataFrame:
     """(key, train, test) of `folds` (key, fold): scope k predicts fold k and learns from the others."""
     k = folds.agg(F.max("fold")).first()[0] + 1
     return folds.select(key, F.expr(f"filter(sequence(0, {k - 1}), f -> f != fold)").alias("train"), F.array(F.col("fold").cast("int")).alias("test"))
+
+
+def save(fit: SparseFit, path: str) -> None:
+    """A fit's features and weights as Parquet: a row for each term, and one of what is not bound to terms."""
+    spark, space = fit.rows.sparkSession, fit.space
+    n = int(space.bounds[-1])
+    if n:
+        columns = pa.table({"id": pa.array(range(n), pa.int32()), "idf": pa.array(list(space.idf), pa.list_(pa.float64())), "w": pa.array(list(fit.weights[:n]), pa.list_(pa.float64()))})
+        space.terms.join(spark.createDataFrame(columns), "id").write.mode("error").parquet(f"{path}/terms")
+    rest = [a.ravel().tolist() for a in (space.bounds.astype(float), space.mean, space.scale, space.balance, fit.weights[n:])]
+    models = [(m.scope, list(m.blocks), m.c, m.penalized) for m in fit.models]
+    kind = "blocks array<string>, bounds array<double>, mean array<double>, scale array<double>, balance array<double>, w array<double>, models array<struct<scope:int,blocks:array<string>,c:double,penalized:boolean>>"
+    spark.createDataFrame([(space.blocks, *rest, models)], kind).write.mode("error").parquet(f"{path}/rest")
+
+
+def load(rows: DataFrame, key: str, path: str) -> SparseFit:
+    """The fit at `path`, for rows that are packed with the same terms."""
+    spark = rows.sparkSession
+    r = spark.read.parquet(f"{path}/rest").first()
+    bounds, scopes = np.array(r["bounds"]).astype(np.int64), len(r["balance"]) // 2
+    n, models = int(bounds[-1]), [Model(m["scope"], tuple(m["blocks"]), m["c"], m["penalized"]) for m in r["models"]]
+    idf, weights, terms = np.zeros((n, scopes)), np.array(r["w"]).reshape(-1, len(models)), None
+    if n:
+        stored = spark.read.parquet(f"{path}/terms")
+        terms, table = stored.select("block", "term", "id"), stored.select("id", "idf", "w").toArrow().sort_by("id")
+        idf, top = (np.stack(table.column(c).to_numpy()) for c in ("idf", "w"))
+        weights = np.vstack([top, weights])
+    space = Space(list(r["blocks"]), bounds, idf, np.array(r["mean"]).reshape(scopes, -1), np.array(r["scale"]).reshape(scopes, -1), np.array(r["balance"]).reshape(scopes, 2), terms)
+    fit = SparseFit(rows, key, space, models)
+    fit.weights = weights
+    return fit

@@ -490,7 +490,8 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, md5(x) AS h FROM documents), d AS (SELECT h, min(doc_id) AS doc_id, count(*) AS copies, any_value(x) AS x, length(x) AS n FROM t GROUP BY h, length(x)), """ + WB_SQL.replace("row_idx", "doc_id").format(c=collapse_("x"), t="d", low=3, high=5) + """,
 c AS (SELECT doc_id, term, count(*) AS tf FROM wb GROUP BY ALL), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + sum(copies))) + 1.0 AS idf FROM c JOIN d USING (doc_id) GROUP BY term),
 u AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS y, y / sqrt(sum(y * y) OVER (PARTITION BY doc_id)) AS w FROM c JOIN v USING (term)),
-p AS (SELECT a.doc_id AS l, b.doc_id AS r FROM d a JOIN d b ON a.doc_id < b.doc_id AND least(greatest(a.n, 1), greatest(b.n, 1)) >= 0.9 * greatest(a.n, b.n, 1))
+e AS (SELECT doc_id, term, d.n FROM (SELECT u.*, sum(w * w) OVER (PARTITION BY doc_id ORDER BY f, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind FROM (SELECT u.*, count(*) OVER (PARTITION BY term) AS f FROM u) u) JOIN d USING (doc_id) WHERE behind >= 0.94),
+p AS (SELECT DISTINCT a.doc_id AS l, b.doc_id AS r FROM e a JOIN e b ON a.term = b.term AND a.doc_id < b.doc_id AND least(greatest(a.n, 1), greatest(b.n, 1)) >= 0.9 * greatest(a.n, b.n, 1))
 SELECT l, r, round(sum(a.w * b.w), 6) AS similarity FROM p JOIN u a ON a.doc_id = l JOIN u b ON b.doc_id = r AND b.term = a.term GROUP BY l, r HAVING sum(a.w * b.w) >= 0.97
 UNION ALL SELECT d.doc_id, t.doc_id, 1.0 FROM t JOIN d USING (h) WHERE t.doc_id > d.doc_id AND regexp_matches(t.x, '[^ \\t\\n\\r\\f\\x0B]')""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import features, folds, metrics, selection, sparse
+from evidentia.operators import features, folds, metrics, relations, selection, sparse
 from evidentia.plans import catalog
 from evidentia.plans.catalog import P, QA, absent_, cells_, collapse_, f1_, query, v5_
 from evidentia.plans.inputs import qa
+from evidentia.sources import artifacts
 
 SEEDS, OUTER, INNER = folds.SEEDS, 5, 3
 
@@ -208,3 +211,35 @@ def fold_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = catalog._folds(spark, sf_dir).join(qa(spark, sf_dir).select("row_idx", "p_e0", "p_e1"), "row_idx").unpivot(["seed", "fold", "label"], ["p_e0", "p_e1"], "model", "q")
     records = metrics.classification_metrics(dealt.withColumns({"model": F.substring("model", 3, 2), "prediction": metrics.at_threshold(F.col("q"), F.lit(0.5))}), ["model", "seed", "fold"])
     return selection.distribution(records, ["model", "seed"]).withColumns({"mean": F.round("mean", 12), "std": F.round("std", 9)})
+
+
+_NAMED = ", ".join(f"'{n}'" for n in selection.CANDIDATE_ORDER)
+_ORDER = f"list_position([{_NAMED}], candidate)"
+
+
+@query(f"""WITH RECURSIVE {catalog._FOLDS}, pp AS (SELECT row_idx, p_e0, p_e1 FROM qa), b AS (SELECT f.seed, f.fold, f.label, unnest([{_NAMED}]) AS candidate, unnest([p_e0, p_e1, 0.5::DOUBLE * p_e0 + 0.5::DOUBLE * p_e1, 0.25::DOUBLE * p_e0 + 0.75::DOUBLE * p_e1]) AS q FROM fo f JOIN pp USING (row_idx)),
+c AS (SELECT candidate, seed, fold, {cells_} FROM (SELECT *, (q >= 0.5)::INT AS prediction FROM b) GROUP BY candidate, seed, fold), t AS (SELECT *, {f1_}, greatest(tp + fp, tn + fn) / (tn + fp + fn + tp) AS share FROM c),
+m AS (SELECT candidate, avg(macro_f1) AS macro_f1_mean, stddev_pop(macro_f1) AS macro_f1_std, avg(f1_label0) AS f1_label0_mean, avg(f1_label1) AS f1_label1_mean, max(share) AS max_share FROM t GROUP BY candidate)
+SELECT candidate, round(macro_f1_mean, 12) AS macro_f1_mean, round(macro_f1_std, 9) AS macro_f1_std, round(f1_label0_mean, 12) AS f1_label0_mean, round(f1_label1_mean, 12) AS f1_label1_mean, max_share FROM m WHERE max_share <= 0.9 QUALIFY row_number() OVER (ORDER BY m.macro_f1_mean DESC, m.f1_label0_mean DESC, m.macro_f1_std, {_ORDER}) = 1""")
+def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate that stays, by its metrics over the folds of three seeds; candidates are blends of two models here."""
+    dealt = catalog._folds(spark, sf_dir).join(qa(spark, sf_dir).select("row_idx", "p_e0", "p_e1"), "row_idx")
+    blends = [F.col("p_e0"), F.col("p_e1"), 0.5 * F.col("p_e0") + 0.5 * F.col("p_e1"), 0.25 * F.col("p_e0") + 0.75 * F.col("p_e1")]
+    each = dealt.select("seed", "fold", "label", F.inline(F.array(*[F.struct(F.lit(n).alias("candidate"), b.alias("q")) for n, b in zip(selection.CANDIDATE_ORDER, blends)])))
+    records = metrics.classification_metrics(each.withColumn("prediction", metrics.at_threshold(F.col("q"), F.lit(0.5))), ["candidate", "seed", "fold"])
+    chosen = selection.choose_candidate(selection.with_collapse(records).withColumnRenamed("dominant_share", "max_share"))
+    return chosen.withColumns({c: F.round(c, 9 if c.endswith("std") else 12) for c in ("macro_f1_mean", "macro_f1_std", "f1_label0_mean", "f1_label1_mean")})
+
+
+@query(f"""WITH RECURSIVE {catalog._FOLDS}, pp AS (SELECT row_idx, p_e1 FROM qa), o AS (SELECT f.label, p_e1 AS p FROM fo f JOIN pp USING (row_idx)), c AS (SELECT {cells_} FROM (SELECT *, (p >= 0.5)::INT AS prediction FROM o)), t AS (SELECT {f1_} FROM c)
+SELECT 'e1' AS experiment, (SELECT count(*) FROM o) AS oof_rows, round(macro_f1, 12) AS macro_f1, round((SELECT avg((p - label) * (p - label)) FROM o), 12) AS brier FROM t""")
+def verified_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's out-of-fold rows, what a stack learns from and the metrics, committed as a set, opened and verified."""
+    dealt = sparse.filed(catalog._folds(spark, sf_dir))
+    oof = dealt.join(qa(spark, sf_dir).select("row_idx", F.col("p_e1").alias("p1")), "row_idx").select("seed", "fold", "row_idx", "label", "p1", (1 - F.col("p1")).alias("p0"))
+    targets = dealt.select("seed", F.col("fold").alias("target_fold")).distinct()
+    stack = dealt.join(targets, "seed").where("fold != target_fold").select("seed", "target_fold", "row_idx")
+    path = f"{relations.checkpoint_folder(spark)}/experiment-{uuid.uuid4().hex}"
+    artifacts.commit_experiment("e1", oof, path, {"stack": stack})
+    verified = artifacts.verify_experiment(artifacts.open_set(spark, path), dealt)
+    return verified.withColumns({"macro_f1": F.round("macro_f1", 12), "brier": F.round("brier", 12)})
