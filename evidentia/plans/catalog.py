@@ -188,8 +188,8 @@ _pf = ["response_in_context_exact", "response_in_context_no_punctuation", "conte
 
 
 @query(f"""WITH {QA}, a AS MATERIALIZED (SELECT row_idx, response AS raw, {v5_('prompt')} AS p, {v5_('context')} AS c, {v5_('response')} AS r FROM qa WHERE NOT {absent_('context', 'v4')}),
-b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('c')} AS tc, {toks_('r')} AS tr, {compact_('c')} AS kc, {compact_('r')} AS kr, {compact_(punct_('c'))} AS nc, {compact_(punct_('r'))} AS nr FROM a),
-d AS MATERIALIZED (SELECT *, {numerals_('tr')} AS dr, {numerals_('tc')} AS dc, {grams_('kr', 3)} AS r3, {grams_('kc', 3)} AS c3, {grams_('kr', 4)} AS r4, {grams_('kc', 4)} AS c4 FROM b)
+b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('c')} AS tc, {toks_('r')} AS tr, {compact_(punct_('c'))} AS nc, {compact_(punct_('r'))} AS nr FROM a),
+d AS MATERIALIZED (SELECT *, {numerals_('tr')} AS dr, {numerals_('tc')} AS dc, {grams_('nr', 3)} AS r3, {grams_('nc', 3)} AS c3, {grams_('nr', 4)} AS r4, {grams_('nc', 4)} AS c4 FROM b)
 SELECT row_idx, (r != '' AND contains(c, r))::INT AS response_in_context_exact, (nr != '' AND contains(nc, nr))::INT AS response_in_context_no_punctuation, (c != '' AND contains(r, c))::INT AS context_in_response_exact,
 CASE WHEN len(tr) = 0 THEN 1.0 ELSE {multi_('tr', 'tc')} / len(tr) END::DOUBLE AS response_token_coverage, ({jac_('tr', 'tc')})::DOUBLE AS token_jaccard, ({jac_('tp', 'tr')})::DOUBLE AS prompt_response_token_jaccard, ({jac_('tp', 'tc')})::DOUBLE AS prompt_context_token_jaccard,
 ({jac_('r3', 'c3')})::DOUBLE AS char3_jaccard, ({jac_('r4', 'c4')})::DOUBLE AS char4_jaccard, length(r) / greatest(length(c), 1) AS response_context_length_ratio,
@@ -210,17 +210,59 @@ _lex = lambda l, words: f"len(list_filter({l}, lambda x: x IN {list_(words)}))"
 _af = ["prompt_response_char3_jaccard", "response_year_like_count", "response_punctuation_count", "response_negation_count", "response_uncertainty_count", "prompt_interrogative_count", "prompt_instruction_count", "response_latin_script_ratio", "prompt_has_question_mark", "response_named_entity_like_count", "response_numeral_count"]
 
 
-@query(rf"""WITH {QA}, a AS MATERIALIZED (SELECT row_idx, nfc_normalize(coalesce(response, '')) AS raw, {v5_('prompt')} AS p, {v5_('response')} AS r FROM qa WHERE {absent_('context', 'v4')}),
-b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('r')} AS tr, {toks_('raw')} AS src, {grams_(compact_('p'), 3)} AS p3, {grams_(compact_('r'), 3)} AS r3, regexp_extract_all(raw, '\p{{L}}') AS letters FROM a)
+_ABSENT_SQL = rf"""WITH {QA}, a AS MATERIALIZED (SELECT row_idx, nfc_normalize(coalesce(response, '')) AS raw, {v5_('prompt')} AS p, {v5_('response')} AS r FROM qa WHERE {absent_('context', 'v4')}),
+b AS MATERIALIZED (SELECT *, {toks_('p')} AS tp, {toks_('r')} AS tr, {toks_('raw')} AS src, {grams_(compact_(punct_('p')), 3)} AS p3, {grams_(compact_(punct_('r')), 3)} AS r3, regexp_extract_all(raw, '\p{{L}}') AS letters FROM a)
 SELECT row_idx, ({jac_('p3', 'r3')})::DOUBLE AS prompt_response_char3_jaccard, len(list_filter({numerals_('tr')}, lambda x: length(x) = 4)) AS response_year_like_count, len(regexp_extract_all(raw, '\p{{P}}')) AS response_punctuation_count,
 {_lex('tr', features.NEGATION)} AS response_negation_count, {_lex('tr', features.UNCERTAINTY)} AS response_uncertainty_count, {_lex('tp', features.INTERROGATIVE)} AS prompt_interrogative_count, {_lex('tp', features.INSTRUCTION)} AS prompt_instruction_count,
 CASE WHEN len(letters) = 0 THEN 0.0 ELSE len(list_filter(letters, lambda x: regexp_matches(x, '\p{{Latin}}'))) / len(letters) END::DOUBLE AS response_latin_script_ratio, contains(p, '?')::INT AS prompt_has_question_mark,
 len(list_filter(src, lambda x: regexp_matches(list_filter(regexp_extract_all(x, '\p{{L}}'), lambda y: regexp_matches(y, '\p{{Latin}}'))[1], '\p{{Lu}}') OR (regexp_matches(x, '\p{{L}}') AND regexp_matches(x, '\p{{Nd}}')))) AS response_named_entity_like_count,
-len({numerals_('tr')}) AS response_numeral_count FROM b""")
+len({numerals_('tr')}) AS response_numeral_count FROM b"""
+
+
+@query(_ABSENT_SQL)
 def context_absent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.absent_features(qa(spark, sf_dir).where(X.is_absent(F.col("context"), "v4"))).select("row_idx", *_af)
 
 
+_FREQ = f"fq AS (SELECT token, count(*) AS n FROM (SELECT unnest({toks_(v5_('response'))}) AS token FROM qa WHERE partition = 'public_train') GROUP BY token)"
+_RARE = f"rare AS (SELECT row_idx, count(*) AS rare FROM (SELECT row_idx, unnest({toks_(v5_('response'))}) AS token FROM qa) LEFT JOIN fq USING (token) WHERE coalesce(n, 0) <= {features.RARE} GROUP BY row_idx)"
+_NUMERALS = r"len(regexp_extract_all(coalesce(response, ''), '\p{Nd}')) AS numerals, len(regexp_extract_all(coalesce(response, ''), '[০-৯]')) AS bengali"
+
+
+def _extractor(spark, sf_dir) -> tuple[DataFrame, features.Extractor]:
+    rows = filed(qa(spark, sf_dir).select("row_idx", "prompt", "context", "response", "partition"))
+    return rows, features.Extractor.fit(rows.where("partition = 'public_train'"))
+
+
+@query(f"""WITH base AS ({_ABSENT_SQL}), {QA}, {_FREQ}, {_RARE}, t AS (SELECT row_idx, {v5_('prompt')} AS p, {v5_('response')} AS r, {toks_('p')} AS tp, {toks_('r')} AS tr, {_NUMERALS}, len(list_filter(regexp_extract_all(nfc_normalize(coalesce(response, '')), '\\p{{L}}'), lambda x: regexp_matches(x, '\\p{{Bengali}}'))) / greatest(len(regexp_extract_all(nfc_normalize(coalesce(response, '')), '\\p{{L}}')), 1) AS bengali_share FROM qa)
+SELECT row_idx, length(r)::DOUBLE AS response_char_count, len(tr)::DOUBLE AS response_token_count, length(p)::DOUBLE AS prompt_char_count, len(tp)::DOUBLE AS prompt_token_count, ({jac_('tp', 'tr')})::DOUBLE AS prompt_response_token_jaccard, prompt_response_char3_jaccard,
+numerals::DOUBLE AS response_numeral_count, bengali::DOUBLE AS response_bengali_numeral_count, (numerals - bengali)::DOUBLE AS response_arabic_numeral_count, response_year_like_count::DOUBLE AS response_year_like_count, response_punctuation_count::DOUBLE AS response_punctuation_count,
+response_negation_count::DOUBLE AS response_negation_count, response_uncertainty_count::DOUBLE AS response_uncertainty_count, bengali_share::DOUBLE AS response_bengali_script_ratio, response_latin_script_ratio, prompt_has_question_mark::DOUBLE AS prompt_has_question_mark,
+prompt_interrogative_count::DOUBLE AS prompt_interrogative_count, prompt_instruction_count::DOUBLE AS prompt_instruction_count, coalesce(rare, 0)::DOUBLE AS response_rare_token_count, response_named_entity_like_count::DOUBLE AS response_named_entity_like_count,
+(numerals + coalesce(rare, 0) + response_named_entity_like_count)::DOUBLE AS response_specificity_score FROM t JOIN base USING (row_idx) LEFT JOIN rare USING (row_idx)""")
+def absent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the rows without a context; token frequencies are those of the public training rows."""
+    rows, fitted = _extractor(spark, sf_dir)
+    return fitted.absent(rows.where(X.is_absent(F.col("context"), "v4")))
+
+
+@query(f"""WITH {QA}, {_FREQ}, {_RARE}, a AS (SELECT row_idx, {compact_(punct_(v5_('context')))} AS c, {compact_(punct_(v5_('response')))} AS r, {toks_(v5_('response'))} AS tr, {_NUMERALS} FROM qa WHERE NOT {absent_('context', 'v4')}),
+b AS (SELECT *, string_split(r, '') AS rs, string_split(c, '') AS cs FROM a)
+SELECT row_idx, CASE WHEN r = '' THEN 1.0 WHEN c = '' THEN 0.0 ELSE {multi_('rs', 'cs')} / len(rs) END::DOUBLE AS response_character_coverage, numerals::DOUBLE AS response_numeral_count, CASE WHEN len(tr) = 0 THEN 0.0 ELSE coalesce(rare, 0) / len(tr) END::DOUBLE AS rare_token_coverage FROM b LEFT JOIN rare USING (row_idx)""")
+def present_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows with a context: characters of the response that the context has, numerals, and the share of rare tokens."""
+    rows, fitted = _extractor(spark, sf_dir)
+    return fitted.present(rows.where(~X.is_absent(F.col("context"), "v4"))).select("row_idx", "response_character_coverage", "response_numeral_count", "rare_token_coverage")
+
+
+@query()
+def feature_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature arrays of all rows, each of its own kind, in their fixed orders."""
+    rows, fitted = _extractor(spark, sf_dir)
+    absent = X.is_absent(F.col("context"), "v4")
+    return fitted.matrix(rows.where(absent), False).unionByName(fitted.matrix(rows.where(~absent), True))
+
+
 @query(f"""WITH {P}, u AS (SELECT present, label, unnest(['p_e0', 'p_e1']) AS feature, unnest([p_e0, p_e1]) AS x FROM p)
 SELECT present, label, feature, count(*) AS n, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_pop(x) AS std, min(x) AS low, max(x) AS high FROM u GROUP BY ALL""")
 def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,9 +75,9 @@ def sparse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numeric(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The features of rows without a context, as the last candidate has them."""
-    out = features.absent_features(rows.select("row_idx", "prompt", "response"))
-    return out, [c for c in out.columns if c not in ("row_idx", "prompt", "response")]
+    """The features of rows without a context that need no fit: all but the two with rare tokens, which differ from scope to scope."""
+    names = [c for c in features.ABSENT if c not in ("response_rare_token_count", "response_specificity_score")]
+    return features.Extractor.fit(rows).absent(rows.select("row_idx", "prompt", "response")).select("row_idx", *names), names
 
 
 @query()
@@ -85,7 +85,7 @@ def sparse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold probabilities of the five sparse candidates for rows without a context, over repeated grouped folds: 75 models."""
     rows = sparse.filed(_absent(spark, sf_dir))
     numbers, names = _numeric(rows)
-    rows = rows.join(numbers.drop("prompt", "response"), "row_idx")
+    rows = rows.join(numbers, "row_idx")
     dealt = catalog._folds(spark, sf_dir).join(rows.select("row_idx"), "row_idx")
     at = F.coalesce(*[F.when(F.col("seed") == s, F.lit(k)) for k, s in enumerate(SEEDS)]) * OUTER
     others = F.expr(f"filter(sequence(0, {OUTER - 1}), f -> f != fold)")
