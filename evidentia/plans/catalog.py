@@ -255,6 +255,15 @@ def present_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.present(rows.where(~X.is_absent(F.col("context"), "v4"))).select("row_idx", "response_character_coverage", "response_numeral_count", "rare_token_coverage")
 
 
+@query(f"""WITH mx AS ({ORACLE['absent_matrix']}), lb AS (SELECT doc_id AS row_idx, quality AS label FROM labels), u AS (UNPIVOT (SELECT mx.* EXCLUDE (row_idx), label FROM mx JOIN lb USING (row_idx)) ON COLUMNS(* EXCLUDE label) INTO NAME feature VALUE x)
+SELECT label, feature, count(*) AS n, round(avg(x), 9) AS mean, quantile_cont(x, 0.5) AS median, round(stddev_pop(x), 9) AS std, min(x) AS low, max(x) AS high FROM u GROUP BY ALL""")
+def absent_feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each feature of the rows without a context is spread over the rows of each label."""
+    rows = qa(spark, sf_dir).select("row_idx", "label")
+    u = absent_matrix(spark, sf_dir).join(rows, "row_idx").unpivot(["label"], list(features.ABSENT), "feature", "x")
+    return u.groupBy("label", "feature").agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.round(F.stddev_pop("x"), 9).alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
 @query()
 def feature_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature arrays of all rows, each of its own kind, in their fixed orders."""
