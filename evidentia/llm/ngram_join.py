@@ -19,6 +19,8 @@ WIDTH, PERCENT = 4, 85
 #: Counters of the frequency sketch (a power of two); it is the one thing broadcast, as a byte a counter.
 SKETCH_BITS = 22
 _PARTS = 64
+#: Bits of the parities of a prefix, in longs.
+_LONGS = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -100,13 +102,14 @@ def frequency_levels(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_md5, n, fp, gid, usual, prefix): the number of shingles, digests of the set and of prefix and size, the sum
-    of the prefix's levels, and the prefix: shingles by level and hash, so many that two sets similar enough share one."""
+    """(doc_id, text_md5, n, fp, gid, usual, prefix, bits): the number of shingles, digests of the set and of prefix and size, the sum
+    of the prefix's levels, the prefix: shingles by level and hash, so many that two sets similar enough share one, and of how many of
+    them each of 512 buckets has, the parity."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in batches:
-            n, fp, gid, usual, prefixes = [], [], [], [], []
+            n, fp, gid, usual, prefixes, bits = [], [], [], [], [], []
             for s in shingle_sets(_texts(batch), width):
                 level = shared.value[s >> np.uint64(64 - SKETCH_BITS)]
                 ordered = s[np.argsort(level, kind="stable")] if level.any() else s
@@ -116,14 +119,17 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int, id
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 gid.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest() if len(s) else None)
                 prefixes.append(p.view(np.int64))
+                odd = np.bincount((p % np.uint64(64 * _LONGS)).astype(np.int64), minlength=64 * _LONGS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            parities = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * _LONGS), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), pa.array(usual, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "usual", "prefix"])
+            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()), pa.array(usual, pa.int32()), lists, parities]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), *made], ["doc_id", "text_md5", "n", "fp", "gid", "usual", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(released(run), f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, usual int, prefix array<long>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, text_md5 string, n long, fp binary, gid binary, usual int, prefix array<long>, bits array<long>")
 
 
 def _sizes(a, b, percent: int):
@@ -135,6 +141,18 @@ def _common(a, b, percent: int):
     return F.ceil(F.lit(percent) * (a + b) / float(100 + percent) - 1e-9)
 
 
+def _prefix_size(n, percent: int):
+    return n - F.floor((percent * n + 99) / 100) + 1
+
+
+def _shared_at_most(nl, nr, bl, br, percent: int):
+    """How many shingles two sets can share: a parity in which their prefixes differ is of a shingle that one of them has alone,
+    and what is not in both prefixes lies behind one of them."""
+    pl, pr = _prefix_size(nl, percent), _prefix_size(nr, percent)
+    differ = sum(F.bit_count(F.get(bl, k).bitwiseXOR(F.get(br, k))) for k in range(_LONGS))
+    return F.floor((pl + pr - differ) / 2) + F.greatest(nl - pl, nr - pr)
+
+
 def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
     """The pairs (a, b) of digests in `facts` (fp, n, prefix, text_md5) that link.
 
@@ -189,7 +207,7 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
        text without edits has (which votes for that of the class before). Each set is compared with the group it gave most votes, and with its own group's first: two pairs a set
        at most, however large a group of copies.
     2. Pairs of sets that still lie in different components are compared in full if they share a shingle so early in both
-       prefixes that enough of both can follow it.
+       prefixes that enough of both can follow it, and if the parities of their prefixes leave room for as many common shingles.
     The sketch puts shingles that many documents hold behind the others, so they are in a prefix only if little else is."""
     levels = frequency_levels(docs, width, text_col)
     facts = saved(signatures(docs, levels, width, percent, id_col, text_col))
@@ -222,12 +240,14 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     parts = saved(placed.select("key", "c").distinct())
     each = W.partitionBy("token")
     left = postings.select("token", "n", "at", "key").join(small(parts), "key").withColumns({"low": F.min("c").over(each), "high": F.max("c").over(each)})
-    left = saved(left.where("low != high").select("token", "n", "at", "key", "c"))
-    l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "at", "key", "c")]) for side in "lr")
+    bits = saved(filled.select(F.xxhash64("gid").alias("key"), "bits").distinct())
+    left = saved(left.where("low != high").select("token", "n", "at", "key", "c").join(small(bits), "key"))
+    l, r = (left.select("token", *[F.col(x).alias(x + side) for x in ("n", "at", "key", "c", "bits")]) for side in "lr")
     # The first shingle that two linking sets share has enough of either set from its place on; all that follows is behind it.
     need = _common(F.col("nl"), F.col("nr"), percent)
     early = (F.col("nl") - F.col("atl") >= need) & (F.col("nr") - F.col("atr") >= need)
-    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).where(early).select("keyl", "cl", "keyr", "cr").distinct()
+    able = _shared_at_most(F.col("nl"), F.col("nr"), F.col("bitsl"), F.col("bitsr"), percent) >= need
+    more = l.join(r, "token").where("cl < cr").where(_sizes(F.col("nl"), F.col("nr"), percent)).where(early).where(able).select("keyl", "cl", "keyr", "cr").distinct()
     for x, side in zip("ab", "lr"):
         more = more.join(placed.select(F.col("key").alias("key" + side), F.col("c").alias("c" + side), F.col("fp").alias(x)), ["key" + side, "c" + side])
     more = saved(ordered(more).join(pairs, ["a", "b"], "left_anti"))
