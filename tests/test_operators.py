@@ -6,6 +6,7 @@ from evidentia.functions import text as X
 from evidentia.functions import tokens as T
 from evidentia.operators import audits, features, metrics, relations
 from evidentia.plans import catalog
+from evidentia.plans.inputs import FIXTURE
 from evidentia.sources import sinks, tables
 
 
@@ -90,8 +91,8 @@ def test_near_duplicates_of_one_parity(spark, tmp_path):
     """Pairs whose ids are both even or both odd are found too."""
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in ("north", "river"))
     spark.createDataFrame([(2, a), (4, a), (5, b), (7, b), (8, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalog.QUERIES["near_duplicates_all"](spark, str(tmp_path)).collect()
-    assert sorted(tuple(r) for r in found) == [(2, 4, 1.0), (5, 7, 1.0)]
+    for name in ("near_duplicates", "near_duplicates_all"):
+        assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [(2, 4, 1.0), (5, 7, 1.0)]
 
 
 @pytest.mark.parametrize("name", ["context_predicates", "normalized_v5", "repaired_text", "tokenised"])
@@ -99,6 +100,6 @@ def test_text_queries_run_over_whole_tables(spark, tmp_path, name):
     """Every labeled row of the tables is there, beside the fixture's rows."""
     spark.createDataFrame([(k, f"line {k}\r\nend \x1b[1m{k}", "src3") for k in range(40)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    few = {r.row_idx for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    few = {r[0] for r in FIXTURE}
     got = [r.row_idx for r in catalog.QUERIES[name + "_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted([*range(40), *(-1 - i for i in few)])
