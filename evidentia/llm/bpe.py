@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evidentia.llm._common import released
 
 #: Characters whose words are encoded together; words that a task keeps; bytes from which a word counts as long.
-BLOCK, KEPT_WORDS, LONG = 4_000_000, 600_000, 200
+BLOCK, KEPT_WORDS, LONG = 500_000, 200_000, 200
 
 #: Rows of `start` are (w, pos, tok): words one after another, pos rising over all of them. Each step finds the ranks of
 #: neighbouring pairs, takes the least rank and leftmost place of each word, and contracts that pair; words without a pair
@@ -137,8 +137,8 @@ class Tokenizer:
     def split(self, texts: list[str]) -> list[list[str]]:
         """The words of each text; those new to this task are encoded and decoded in one query each."""
         found = list(map(self.find, texts))
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+        if len(self.words) > KEPT_WORDS:  # the words at hand stay
+            self.words = {w: self.words[w] for w in set().union(*found) if w in self.words}
         new = list(set().union(*found).difference(self.words))
         ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
         for w, i, text in zip(new, ids, self.decode(ids)):

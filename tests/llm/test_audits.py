@@ -236,3 +236,32 @@ def test_all_bits_of_two_meet_under_a_key():
 def test_empty(docs):
     none = docs.where("false")
     assert divergence.divergence(none).count() == merkle.proofs(merkle.manifest(none)).count() == simhash.simhash_components(none).count() == 0
+
+
+def test_suffix_dedup_takes_few_texts_at_a_time(spark, monkeypatch):
+    """No step over whole texts has more than some hundred of them in Python at once, and the session's batches are as before."""
+    from evidentia.llm import suffix_dedup
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for step in ("saved", "filed"):
+        own = getattr(suffix_dedup, step)
+        monkeypatch.setattr(suffix_dedup, step, lambda df, own=own: (seen.append(int(spark.conf.get(name))), own(df))[1])
+    docs = spark.createDataFrame([(k, "abcdefgh" * 40 + str(k)) for k in range(20)], "doc_id long, text string")
+    assert suffix_dedup.suffix_dedup(docs).count() == 20
+    assert seen and max(seen) <= 500 and spark.conf.get(name) == before
+
+
+def test_tokenizer_keeps_few_words(monkeypatch):
+    """A full list of words keeps those at hand only, and ids do not depend on it."""
+    import public_tokenizers
+
+    from evidentia.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [f"alpha beta{k} gamma{k * 7} delta" for k in range(60)]
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    small, large = (bpe.Tokenizer(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN) for _ in range(2))
+    assert [x for t in texts for x in small.texts([t])] == list(large.texts(texts))
+    assert len(small.words) < 25 and "alpha" in small.words
+    small.close(), large.close()
