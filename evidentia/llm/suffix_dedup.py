@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import _numeric
-from evidentia.llm._common import light, release, saved, small
+from evidentia.llm._common import filed, light, release, saved, short_batches, small
 
 LENGTH = 200
 #: Bytes of the gram whose hash anchors a window.
@@ -509,7 +509,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     another document; strings are judged on the input. Rows of equal text have equal results. A null text counts as empty;
     texts under `length` bytes lose nothing; long ones are walked in blocks; ids may be null or repeated; other columns are
     ignored, and an empty table gives an empty result."""
-    found = saved(spans(repeated_windows(docs, length, text_col, **limits), length))
+    with short_batches(docs.sparkSession):
+        found = saved(spans(repeated_windows(docs, length, text_col, **limits), length))
     rows = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("text_md5"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(light(found, F.size("spans") * 8 + 64), "text_md5", "left").select("doc_id", "text", "spans")
 
@@ -526,4 +527,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made[: 4 + with_text]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    if with_text:  # as large as the input: not written a second time
+        return out
+    with short_batches(docs.sparkSession):
+        return filed(out)
