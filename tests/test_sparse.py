@@ -145,3 +145,27 @@ def test_many_parts(rows, scopes, monkeypatch):
 def test_one_label(rows, scopes):
     with pytest.raises(DataValidationError):
         sparse.pack(rows.withColumn("label", F.lit(1)), "row_idx", {"word": F.col("text")}, scopes, [], SMALL)
+
+
+@pytest.mark.parametrize("often", [0, 12, 4_096])
+def test_gradients(rows, scopes, often, monkeypatch):
+    """Steps by gradients give the weights of Newton steps, whichever terms are multiplied as a matrix, and need few passes."""
+    packed, space = sparse.pack(rows, "row_idx", {b: F.col("text") for b in SMALL}, scopes, ["n1", "n2"], SMALL)
+    models = [sparse.Model(s, b, c, p) for s, b, c, p in MODELS]
+    one = sparse.SparseFit(packed, "row_idx", space, models).fit()
+    monkeypatch.setattr(sparse, "SECOND", 0)
+    monkeypatch.setattr(sparse, "OFTEN", often)
+    many = sparse.SparseFit(packed, "row_idx", space, models).fit()
+    assert np.abs(one.weights - many.weights).max() < 1e-5
+    assert one.passes < 20 and many.passes < 150
+
+
+@pytest.mark.parametrize("beside", [1, 2])
+def test_scopes_in_turns(rows, scopes, beside, monkeypatch):
+    """However many scopes are counted side by side, and wherever the list is cut, the terms are the same."""
+    monkeypatch.setattr(sparse, "BESIDE", beside)
+    specs = {"word": sparse.Spec("word", 1, 2, min_df=2, top=7), "char": sparse.Spec("char_wb", 3, 5, top=30)}
+    terms = sparse.postings(rows, "row_idx", {b: F.col("text") for b in specs}, specs)
+    got = {(r.scope, r.block, r.term): r.idf for r in sparse.vocabularies(terms, scopes, "row_idx", specs).collect()}
+    want = {(s, b, t): v for s in range(3) for b, spec in specs.items() for t, v in fitted([r[1] for r in ROWS if r[0] * 7 % 3 != s], spec).items()}
+    assert got == pytest.approx(want)
