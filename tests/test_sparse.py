@@ -169,3 +169,13 @@ def test_scopes_in_turns(rows, scopes, beside, monkeypatch):
     got = {(r.scope, r.block, r.term): r.idf for r in sparse.vocabularies(terms, scopes, "row_idx", specs).collect()}
     want = {(s, b, t): v for s in range(3) for b, spec in specs.items() for t, v in fitted([r[1] for r in ROWS if r[0] * 7 % 3 != s], spec).items()}
     assert got == pytest.approx(want)
+
+
+def test_weight_sums(rows, scopes):
+    """Sums of weights are those of the weights themselves, and no shuffle has a row for each term."""
+    terms = sparse.filed(sparse.postings(rows, "row_idx", {b: F.col("text") for b in SMALL}, SMALL))
+    vocabulary = sparse.filed(sparse.vocabularies(terms, scopes, "row_idx", SMALL))
+    want = sparse.tfidf(terms, vocabulary, "row_idx", SMALL).groupBy("scope", "row_idx", "block").agg(F.count("*").alias("terms"), F.sum("w").alias("total"), F.max("w").alias("largest"))
+    sums = sparse.weight_sums(terms, vocabulary, "row_idx", SMALL)
+    assert {r[:3]: pytest.approx(r[3:]) for r in want.collect()} == {r[:3]: r[3:] for r in sums.collect()}
+    assert "Window" not in sums._jdf.queryExecution().executedPlan().toString()
